@@ -78,7 +78,7 @@ def block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         basket, item = (np.concatenate([r, x.column(k).to_numpy()]) for k, r in enumerate(rest))
         if not len(basket):
             continue
-        cut = int(np.searchsorted(basket != basket[-1], False)) if basket[0] == basket[-1] else int(np.flatnonzero(basket != basket[-1])[-1]) + 1
+        cut = int(np.searchsorted(basket, basket[-1]))
         rest = (basket[cut:], item[cut:])
         yield from product(basket[:cut], item[:cut])
     yield from product(*rest)

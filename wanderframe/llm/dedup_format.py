@@ -40,7 +40,7 @@ MOST_BITS = 1 << 28
 SEGMENT = 1 << 20
 PROBES = 4
 SHARE = 1000
-DOT = ""
+DOT = "\ue000"
 
 
 def canonical(record: Column, names: tuple[str, ...] = ("src", "dst", "weight")) -> Column:
