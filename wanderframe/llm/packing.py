@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wanderframe.session import cut
+from wanderframe.session import kept
 
 #: Items that one rank bucket holds on average.
 BUCKET = 20_000
@@ -97,7 +97,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     items = sizes.select(F.col(key), F.col(size).alias("_size"), F.explode(numbers).alias("part"))
     start = F.col("part").cast("long") * capacity
     items = items.select(key, "part", start.alias("part_start"), F.least(F.col("_size") - start, F.lit(capacity)).alias("n_tokens"))
-    items = cut(items)
+    items = kept(items)
     totals = {r["n_tokens"]: r["n"] for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
     empties = totals.pop(0, 0)
     plan = patterns(totals, capacity)
