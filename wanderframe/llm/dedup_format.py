@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wanderframe.session import kept
+
 BITS_PER_RECORD = 10
 LEAST_BITS = 1 << 20
 MOST_BITS = 1 << 28
@@ -47,10 +49,10 @@ def canonical(record: Column, names: tuple[str, ...] = ("src", "dst", "weight"))
     """`dst=…|src=…|weight=…` with the fields that are there, in order of name."""
     s = F.regexp_replace(F.lower(record), r"(?<=\p{Nd})\.(?=\p{Nd})", DOT)
     s = F.trim(F.regexp_replace(s, rf"[^\p{{L}}\p{{M}}\p{{N}}{DOT}]+", " "))
-    name = "|".join(names)
-    field = rf"(?<![^ ])({name})(?![^ ])((?: (?!(?:{name})(?![^ ]))[^ ]+)*)"
-    keys, values = (F.regexp_extract_all(s, F.lit(field), F.lit(k)) for k in (1, 2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit("="), F.translate(v, " ", "")))
+    # names open a field wherever they stand between blanks; then blanks can go
+    opened = F.regexp_replace(F.concat(F.lit(" "), s, F.lit(" ")), rf" ({'|'.join(names)})(?= )", "\ue001$1=")
+    parts = F.split(F.translate(opened, " ", ""), "\ue001")
+    pairs = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     pairs = F.array_sort(F.filter(pairs, lambda p: ~p.endswith("=")))
     return F.when(F.size(pairs) > 0, F.array_join(pairs, "|")).otherwise(F.concat(F.lit("?"), F.translate(s, " ", "")))
 
@@ -112,8 +114,8 @@ def hashed(df: DataFrame, key: str, record: str) -> DataFrame:
 
 def split_repeats(df: DataFrame, key: str, record: str) -> tuple[DataFrame, DataFrame, int]:
     """(records that may repeat, certain singletons, number of rows)"""
-    rows = hashed(df, key, record)
-    n = df.count()
+    rows = kept(hashed(df, key, record))  # the canonical form is worked out once; three passes read it
+    n = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS_PER_RECORD * n).bit_length()))
     field = repeats_filter(rows, "h", bits)
     sent = df.sparkSession.sparkContext.broadcast(field.tobytes())
