@@ -32,11 +32,14 @@ def by_salt(s: Column, salt: Column | int) -> Column:
     return (s + (F.lit(salt) if isinstance(salt, int) else salt).cast("long") * 16807 + 65539) % P
 
 
-def fifth(df: DataFrame, name: str) -> DataFrame:
-    """Replaces column `name` by its fifth power; one projection, so the text doesn't multiply."""
-    x = F.col(name)
-    square = (x * x) % P
-    return df.withColumn(name, (((square * square) % P) * x) % P)
+def fifth(df: DataFrame, *names: str) -> DataFrame:
+    """Replaces the columns by their fifth powers; one projection, so the text doesn't multiply."""
+
+    def power(x: Column) -> Column:
+        square = (x * x) % P
+        return (((square * square) % P) * x) % P
+
+    return df.withColumns({n: power(F.col(n)) for n in names})
 
 
 def with_walker_hash(df: DataFrame, wid: str = "wid", name: str = "h") -> DataFrame:
@@ -47,9 +50,7 @@ def with_walker_hash(df: DataFrame, wid: str = "wid", name: str = "h") -> DataFr
 def with_draws(df: DataFrame, draws: dict[str, Column | int], h: str = "h", step: str | Column = "step") -> DataFrame:
     """Adds a column in [0, P) for each (name, salt) of `draws`."""
     df = fifth(df.withColumn("_s", by_step(F.col(h), (F.col(step) if isinstance(step, str) else step).cast("long"))), "_s")
-    for name, salt in draws.items():
-        df = fifth(df.withColumn(name, by_salt(F.col("_s"), salt)), name)
-    return df.drop("_s")
+    return fifth(df.withColumns({name: by_salt(F.col("_s"), salt) for name, salt in draws.items()}), *draws).drop("_s")
 
 
 def np_fifth(x: np.ndarray) -> np.ndarray:
@@ -66,20 +67,21 @@ def np_draw(h: np.ndarray, step: np.ndarray, salt: np.ndarray | int) -> np.ndarr
     return np_fifth((s + np.asarray(salt, np.int64) * 16807 + 65539) % P)
 
 
-def sql_fifth(inner: str, name: str) -> str:
-    """Wraps a SELECT so that its column `name` becomes its fifth power."""
-    return f"SELECT * EXCLUDE (_q), ((_q * _q) % {P}) * {name} % {P} AS {name}_5 FROM (SELECT *, {name} * {name} % {P} AS _q FROM ({inner}))"
+def sql_fifth(inner: str, names: list[str], drop: str) -> str:
+    """Wraps a SELECT so that its columns `names` become their fifth powers."""
+    squares = ", ".join(f"{n} * {n} % {P} AS {n}_q" for n in names)
+    gone = ", ".join(f"{n}, {n}_q" for n in names)
+    powers = ", ".join(f"(({n}_q * {n}_q) % {P}) * {n} % {P} AS {n}" for n in names)
+    return f"SELECT * {drop} ({gone}), {powers} FROM (SELECT *, {squares} FROM ({inner}))"
 
 
-def sql_walker_hash(inner: str, wid: str = "wid") -> str:
-    """DuckDB text: adds h to a SELECT that has the walker's id."""
-    return f"SELECT * EXCLUDE (_x, _x_5), _x_5 AS h FROM ({sql_fifth(f'SELECT *, (CAST({wid} AS BIGINT) % {P} * 48271 + 1013904223) % {P} AS _x FROM ({inner})', '_x')})"
+def sql_walker_hash(inner: str, wid: str = "wid", drop: str = "EXCLUDE") -> str:
+    """Adds h to a SELECT that has the walker's id.  drop is the dialect's word for `all columns but`."""
+    return sql_fifth(f"SELECT *, (CAST({wid} AS BIGINT) % {P} * 48271 + 1013904223) % {P} AS h FROM ({inner})", ["h"], drop)
 
 
-def sql_draws(inner: str, draws: dict[str, str], step: str = "step") -> str:
-    """DuckDB text: adds a column for each (name, salt expression)."""
-    text = sql_fifth(f"SELECT *, (h + CAST({step} AS BIGINT) * 69621 + 40692) % {P} AS _s FROM ({inner})", "_s")
-    for name, salt in draws.items():
-        text = sql_fifth(f"SELECT *, (_s_5 + CAST({salt} AS BIGINT) * 16807 + 65539) % {P} AS _{name} FROM ({text})", f"_{name}")
-    gone = ", ".join(["_s", "_s_5", *(f"_{n}" for n in draws), *(f"_{n}_5" for n in draws)])
-    return f"SELECT * EXCLUDE ({gone}), " + ", ".join(f"_{n}_5 AS {n}" for n in draws) + f" FROM ({text})"
+def sql_draws(inner: str, draws: dict[str, str], step: str = "step", drop: str = "EXCLUDE") -> str:
+    """Adds a column for each (name, salt expression)."""
+    seed = sql_fifth(f"SELECT *, (h + CAST({step} AS BIGINT) * 69621 + 40692) % {P} AS _s FROM ({inner})", ["_s"], drop)
+    salted = ", ".join(f"(_s + CAST({salt} AS BIGINT) * 16807 + 65539) % {P} AS {n}" for n, salt in draws.items())
+    return sql_fifth(f"SELECT * {drop} (_s), {salted} FROM ({seed})", list(draws), drop)

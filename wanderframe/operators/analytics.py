@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanderframe.operators.graph import Graph
+from wanderframe.plans.static import SCALE
 from wanderframe.session import cut
 
 
+def mass(weight: str | None) -> Column:
+    """Weights as the walks take them: integers, whose sums are exact in any order."""
+    return F.lit(1).cast("long") if weight is None else F.round(F.col(weight) * SCALE).cast("long")
+
+
 def transition_matrix(edges: DataFrame, weight: str | None = "weight") -> DataFrame:
     """(src, dst, prob): weight over the weight of src; parallel edges add up."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = mass(weight)
     n = edges.where(w > 0).groupBy("src", "dst").agg(F.sum(w).alias("w"))
     total = n.groupBy("src").agg(F.sum("w").alias("tot"))
     return n.join(total, "src").select("src", "dst", (F.col("w") / F.col("tot")).alias("prob"))
@@ -19,7 +25,7 @@ def transition_matrix(edges: DataFrame, weight: str | None = "weight") -> DataFr
 
 def node2vec_matrix(edges: DataFrame, p: float, q: float, weight: str | None = "weight") -> DataFrame:
     """(prev, cur, dst, prob): the second-order matrix, one row for each pair of consecutive edges."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = mass(weight)
     n = edges.where(w > 0).groupBy("src", "dst").agg(F.sum(w).alias("w"))
     first = n.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
     second = n.select(F.col("src").alias("cur"), "dst", "w")
@@ -51,7 +57,7 @@ def reachable_states(edges: DataFrame, seeds: DataFrame, condition: str, followi
 
 def typed_matrix(states: DataFrame, edges: DataFrame, condition: str, weight: str | None) -> DataFrame:
     """(v, state…, dst, prob) over the edges that a walker in each state may take."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = mass(weight)
     keys = states.columns
     rows = states.join(edges, states.v == edges.src).where(condition).where(w > 0).groupBy(*keys, "dst").agg(F.sum(w).alias("w"))
     total = rows.groupBy(*keys).agg(F.sum("w").alias("t"))

@@ -96,7 +96,7 @@ def edit_matrices(by_runs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     insert = np.full((5, 5), FAR)
     np.fill_diagonal(insert, 0)
     for (s, c), to in moves.items():
-        if c == QUOTE or (c == SEPARATOR and s in (CLOSING, AFTER)):
+        if c == QUOTE or (c == SEPARATOR and s in (OPEN, CLOSING, AFTER)):
             insert[s, to] = min(insert[s, to], 1)
     for _ in range(3):
         insert = min_plus(insert, insert)

@@ -18,18 +18,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderframe.functions import rng
 from wanderframe.operators.graph import Graph
 from wanderframe.plans import static as st
 from wanderframe.plans.spec import Transition, WalkConfig, WalkerConfig
-from wanderframe.session import shared_dir
+from wanderframe.session import kept, shared_dir
 
 #: Edges up to which a graph may be sent to all executors (about 60 bytes each).
 MOST_SENT_EDGES = 4_000_000
@@ -48,38 +48,50 @@ class BoundError(ValueError):
     """A dynamic component left the bounds that the walk declares."""
 
 
-@dataclass
 class Prepared:
-    """What depends on the graph and the static component only, so that several walks can share it."""
-
-    cdf: DataFrame
-    vertices: DataFrame
-    cells: DataFrame
-    pairs: DataFrame
-    payload: list[str]
-    attributes: list[str]
-    n_edges: int
-    sent: dict
+    """What depends on the graph and the static component only, so that several walks can share it.
+
+    Each table is made when a strategy first needs it and written to the shared folder.  Plans that join it
+    many times then hold a scan instead of its whole history, and what an executor loses is read again.
+    """
+
+    def __init__(self, graph: Graph, static: str | None, dynamic: bool) -> None:
+        self.graph = graph
+        self.cdf = kept(st.intervals(graph, static, uniform_if_zero=not dynamic))
+        self.attributes = [c for c in graph.attributes.columns if c != "v"] if graph.attributes is not None else []
+        self.payload = [c for c in graph.edges.columns if c not in ("src", "dst")]
+        self.n_edges = self.cdf.count()
+        self.sent: dict = {}
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        """(v, tot, deg, at_…) of every vertex with out-edges or attributes."""
+        totals = st.vertex_totals(self.cdf)
+        if self.attributes:
+            named = self.graph.attributes.select("v", *[F.col(c).alias(f"at_{c}") for c in self.attributes])
+            totals = totals.join(named, "v", "full")
+        return kept(totals.select("v", F.coalesce("tot", F.lit(0)).alias("tot"), F.coalesce("deg", F.lit(0)).alias("deg"), *[f"at_{c}" for c in self.attributes]))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Stays partitioned by (src, cell), so that in a superstep only the walkers move."""
+        return kept(st.cells(self.cdf, self.vertices)).repartition("src", "cell").persist()
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return kept(self.cdf.select(F.col("src").alias("prev"), "dst").distinct()).repartition("prev", "dst").persist()
 
     def release(self) -> None:
-        for df in (self.cdf, self.vertices, self.cells, self.pairs):
-            df.unpersist()
+        for name in ("cells", "pairs"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
         for b in self.sent.values():
             b.unpersist()
+        self.sent.clear()
 
 
 def prepare(graph: Graph, static: str | None, dynamic: bool) -> Prepared:
-    cdf = st.intervals(graph, static, uniform_if_zero=not dynamic).persist()
-    totals = st.vertex_totals(cdf)
-    attributes = [c for c in graph.attributes.columns if c != "v"] if graph.attributes is not None else []
-    if attributes:
-        named = graph.attributes.select("v", *[F.col(c).alias(f"at_{c}") for c in attributes])
-        totals = totals.join(named, "v", "full")
-    vertices = totals.select("v", F.coalesce("tot", F.lit(0)).alias("tot"), F.coalesce("deg", F.lit(0)).alias("deg"), *[f"at_{c}" for c in attributes]).persist()
-    cells = st.cells(cdf, vertices).repartition("src", "cell").persist()
-    pairs = cdf.select(F.col("src").alias("prev"), "dst").distinct().repartition("prev", "dst").persist()
-    payload = [c for c in graph.edges.columns if c not in ("src", "dst")]
-    return Prepared(cdf, vertices, cells, pairs, payload, attributes, cdf.count(), {})
+    return Prepared(graph, static, dynamic)
 
 
 def seeds(spark: SparkSession, graph: Graph, walkers: WalkerConfig, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -114,58 +126,41 @@ def seeds(spark: SparkSession, graph: Graph, walkers: WalkerConfig, lo: int | No
     return df.drop("u_scheme")
 
 
-def draw62(high: Column, low: Column) -> Column:
-    """Two draws as one below P^2, so that totals far above 2^31 are drawn evenly."""
-    return high * rng.P + low
-
+def edge_salts(attempt: str) -> dict[str, str]:
+    return {"_r1": f"({attempt}) * {rng.PER_ATTEMPT} + {rng.EDGE}", "_r2": f"({attempt}) * {rng.PER_ATTEMPT} + {rng.EDGE + 1}"}
 
-def goes_on(df: DataFrame, spec: Transition) -> DataFrame:
-    """Adds _go: whether the walker takes another step; drawn once for each step."""
-    ext = F.expr(spec.extend.sql).cast("double")
-    df = rng.with_draws(df.withColumn("_e", ext), {"_x": rng.EXTEND})
-    return df.withColumn("_go", F.col("_x") < F.col("_e") * rng.P).drop("_e", "_x")
 
+def with_cell(inner: str, can: str) -> str:
+    """Adds the place _r in the vertex's total that two draws give (below P^2, so large totals are drawn evenly) and its cell.
 
-def candidate(df: DataFrame, ready: Prepared, attempt: Column, how: str, dart: bool) -> DataFrame:
-    """Draws an edge for each row: columns dst, payload, to_… of the edge; _y the dart."""
-    salt = attempt * rng.PER_ATTEMPT + rng.EDGE
-    draws = {"_r": salt, "_r2": salt + 1} | ({"_y": salt + 2} if dart else {})
-    df = rng.with_draws(df, draws)
-    can = F.col("tot") > 0
-    df = df.withColumn("_r", F.when(can, draw62(F.col("_r"), F.col("_r2")) % F.greatest("tot", F.lit(1)))).drop("_r2")
-    # rows that can't move get a cell of their own, or they would all meet in one partition
-    df = df.withColumn("_cell", F.when(can, st.cell_of(F.col("_r"), F.col("deg"), F.col("tot"))).otherwise(-1 - F.col("h")))
-    return df.join(ready.cells, (df.v == ready.cells.src) & (df._cell == ready.cells.cell) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")), how).drop("src", "cell", "lo", "hi", "_r", "_cell")
+    Rows that can't move get a cell of their own, or they would all meet in one partition.
+    """
+    place = f"SELECT * EXCEPT (_r1, _r2), CASE WHEN {can} THEN (_r1 * {rng.P} + _r2) % greatest(tot, 1) END AS _r FROM ({inner})"
+    return f"SELECT *, CASE WHEN {can} THEN CAST(floor(CAST(_r AS DOUBLE) * (CAST(deg AS DOUBLE) / CAST(tot AS DOUBLE))) AS BIGINT) ELSE -1 - h END AS _cell FROM ({place})"
 
 
-def moved(df: DataFrame, walkers: WalkerConfig, ready: Prepared, took: Column, carried: list[str]) -> DataFrame:
-    """The walkers behind their move: step, state and vertex are those of dst where `took`."""
-    after = df.withColumn("step", F.when(took, F.col("step") + 1).otherwise(F.col("step")))
-    for name, c in walkers.update.items():
-        after = after.withColumn(f"_new_{name}", F.when(took, F.expr(c.sql)).otherwise(F.col(name)))
-    for name in walkers.update:
-        after = after.withColumn(name, F.col(f"_new_{name}")).drop(f"_new_{name}")
-    for now, then in [("v", "dst"), ("tot", "to_tot"), ("deg", "to_deg"), *[(f"at_{a}", f"to_{a}") for a in ready.attributes]]:
-        after = after.withColumn(now, F.when(took, F.col(then)).otherwise(F.col(now)))
-    return after.select(*carried)
+def with_edge(inner: str, how: str) -> str:
+    """Joins the edge of each row's cell: dst, payload, to_…"""
+    return f"SELECT w.* EXCEPT (_r, _cell), c.* EXCEPT (src, cell, lo, hi) FROM ({inner}) w {how} JOIN {{cells}} c ON w.v = c.src AND w._cell = c.cell AND w._r >= c.lo AND w._r < c.hi"
 
 
 class Supersteps:
     def __init__(self, spark: SparkSession, graph: Graph, ready: Prepared, walkers: WalkerConfig, spec: Transition, config: WalkConfig) -> None:
         self.spark, self.graph, self.ready, self.walkers, self.spec, self.config = spark, graph, ready, walkers, spec, config
         self.root = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
-        self.parts = 0
+        self.parts, self.most_tries = 0, 0
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """Like kept, with the walk's parts side by side."""
         path = f"{self.root}/{self.parts:06d}"
         self.parts += 1
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def start(self, lo: int | None, hi: int | None) -> DataFrame:
         own = seeds(self.spark, self.graph, self.walkers, lo, hi)
         df = own.join(self.ready.vertices, "v", "left")
-        df = df.withColumn("tot", F.coalesce("tot", F.lit(0))).withColumn("deg", F.coalesce("deg", F.lit(0))).withColumn("a", F.lit(0).cast("long"))
+        df = df.withColumns({"tot": F.coalesce("tot", F.lit(0)), "deg": F.coalesce("deg", F.lit(0)), "a": F.lit(0).cast("long")})
         self.carried = [*INNER, *[c for c in own.columns if c not in INNER], *[f"at_{a}" for a in self.ready.attributes]]
         return df.select(*self.carried)
 
@@ -178,80 +173,92 @@ class Supersteps:
         for _ in range(self.config.max_steps):
             state, found = step(state)
             visits.append(found)
-            if state.isEmpty():
+            left = state.agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a")).first()
+            self.most_tries = left.a or 0
+            if not left.n:
                 return _union(visits)
         raise RuntimeError(f"walkers are left after {self.config.max_steps} jobs")
 
+    @property
+    def extends(self) -> str:
+        """Whether the walker takes another step, by its draw _x; one draw for each step."""
+        return f"coalesce(_x < CAST({self.spec.extend.sql} AS DOUBLE) * {rng.P}, false)"
+
+    def moved(self, inner: str, took: str, *more: str) -> str:
+        """The walkers behind their move: step, state and vertex are those of dst where `took`."""
+        place = {"v": "dst", "tot": "to_tot", "deg": "to_deg"} | {f"at_{a}": f"to_{a}" for a in self.ready.attributes} | {k: c.sql for k, c in self.walkers.update.items()}
+        columns = [f"CASE WHEN {took} THEN {place[c]} ELSE {c} END AS {c}" if c in place else f"`{c}`" for c in self.carried]
+        return f"SELECT {', '.join([*columns, *more])} FROM (SELECT * EXCEPT (step), CASE WHEN {took} THEN step + 1 ELSE step END AS step FROM ({inner}))"
+
     def static_job(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         """MOVES moves; rows carry the vertices they found since the job began."""
-        df = state.withColumn("hops", F.array().cast("array<long>")).withColumn("on", F.lit(True))
-        base = F.col("step") - F.size("hops")
-        for _ in range(MOVES):
-            df = goes_on(df, self.spec)
-            df = df.withColumn("on", F.col("on") & F.coalesce(F.col("_go"), F.lit(False)) & (F.col("tot") > 0)).drop("_go")
-            df = df.withColumn("tot", F.when(F.col("on"), F.col("tot")).otherwise(F.lit(0)))
-            df = candidate(df, self.ready, F.lit(0), "left", dart=False)
-            took = F.col("on") & F.col("dst").isNotNull()
-            df = df.withColumn("hops", F.when(took, F.concat("hops", F.array("dst"))).otherwise(F.col("hops"))).withColumn("on", took)
-            df = moved(df, self.walkers, self.ready, F.col("on"), [*self.carried, "hops", "on"])
-        kept = self.keep(df)
-        found = kept.select("wid", base.alias("_base"), F.posexplode("hops").alias("_i", "v")).select("wid", (F.col("_base") + F.col("_i") + 1).alias("step"), "v")
-        return kept.where("on").drop("hops", "on"), found
+        df = state.selectExpr("*", "CAST(array() AS ARRAY<BIGINT>) AS hops", "true AS on_way")
+        text = rng.sql_draws("SELECT * FROM {state}", {"_x": str(rng.EXTEND)} | edge_salts("0"), drop="EXCEPT")
+        text = f"SELECT * EXCEPT (_x, on_way), on_way AND tot > 0 AND {self.extends} AS on_way FROM ({text})"
+        text = with_edge(with_cell(text, "on_way"), "LEFT")
+        text = self.moved(text, "dst IS NOT NULL", "CASE WHEN dst IS NOT NULL THEN concat(hops, array(dst)) ELSE hops END AS hops", "dst IS NOT NULL AS on_way")
+        for _ in range(MOVES):  # one statement for each move, so that the analyzer never meets a deep tree
+            df = self.spark.sql(text, state=df, cells=self.ready.cells)
+        done = self.keep(df)
+        found = done.selectExpr("wid", "step - size(hops) AS base", "posexplode(hops) AS (i, v)").selectExpr("wid", "base + i + 1 AS step", "v")
+        return done.where("on_way").drop("hops", "on_way"), found
 
     def dynamic_job(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         """TRIES candidates for every walker; the first accepted one is its move."""
         spec, ready = self.spec, self.ready
-        df = goes_on(state, spec)
-        df = df.where((F.col("tot") > 0) & ((F.col("a") > 0) | F.coalesce(F.col("_go"), F.lit(False)))).drop("_go")
-        df = self.drop_stuck(df)
-        tries = F.explode(F.sequence(F.col("a"), F.col("a") + (TRIES - 1)))
-        df = candidate(df.withColumn("_t", tries), ready, F.col("_t"), "inner", dart=True)
-        df = df.withColumn("_ub", F.expr(spec.bound.sql).cast("double")).withColumn("_dart", F.col("_y") * F.col("_ub"))
-        sure = F.lit(False)
+        going = rng.sql_draws("SELECT * FROM {state}", {"_x": str(rng.EXTEND)}, drop="EXCEPT")
+        going = self.without_stuck(f"SELECT * EXCEPT (_x) FROM ({going}) WHERE tot > 0 AND (a > 0 OR {self.extends})")
+        text = f"SELECT *, explode(sequence(a, a + {TRIES - 1})) AS _t FROM ({going})"
+        text = rng.sql_draws(text, edge_salts("_t") | {"_y": f"_t * {rng.PER_ATTEMPT} + {rng.DART}"}, drop="EXCEPT")
+        text = with_edge(with_cell(text, "true"), "INNER")
+        sure = "false"
         if spec.lower is not None and not self.config.check_bounds:
-            sure = F.col("_dart") < F.expr(spec.lower.sql).cast("double") * rng.P
-        df = df.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+            sure = f"coalesce(_dart < CAST({spec.lower.sql} AS DOUBLE) * {rng.P}, false)"
+        text = f"SELECT *, {sure} AS _sure FROM (SELECT *, _y * _ub AS _dart FROM (SELECT *, CAST({spec.bound.sql} AS DOUBLE) AS _ub FROM ({text})))"
         if spec.second_order:
-            needed = ~F.col("_sure")
-            if spec.asks is not None:
-                needed &= F.expr(spec.asks.sql)
-            df = df.withColumn("_ask", F.when(needed, F.col("prev")))
-            known = ready.pairs.withColumnsRenamed({"prev": "_p", "dst": "_d"}).withColumn("linked", F.lit(True))
-            df = df.join(known, (df._ask == known._p) & (df.dst == known._d), "left").drop("_p", "_d", "_ask").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        df = df.withColumn("_d", F.coalesce(F.expr(spec.dynamic.sql).cast("double"), F.lit(0.0)))
+            needed = "NOT _sure" + (f" AND ({spec.asks.sql})" if spec.asks is not None else "")
+            text = with_link(f"SELECT *, CASE WHEN {needed} THEN prev END AS _ask FROM ({text})", "_ask")
+        value = f"coalesce(CAST({spec.dynamic.sql} AS DOUBLE), 0.0D)"
+        text = f"SELECT *, {value} AS _d FROM ({text})"
         if self.config.check_bounds:
-            low = F.expr(spec.lower.sql).cast("double") if spec.lower is not None else F.lit(0.0)
-            outside = (F.col("_d") > F.col("_ub")) | (F.col("_d") < low)
-            df = df.withColumn("_d", F.when(outside, F.raise_error(F.lit("dynamic component outside its bounds"))).otherwise(F.col("_d")))
-        taken = F.col("_sure") | (F.col("_dart") < F.col("_d") * rng.P)
+            low = f"CAST({spec.lower.sql} AS DOUBLE)" if spec.lower is not None else "0.0D"
+            text = f"SELECT * EXCEPT (_d), CASE WHEN _d > _ub OR _d < {low} THEN raise_error('dynamic component outside its bounds') ELSE _d END AS _d FROM ({text})"
         edge = ["dst", *ready.payload, "to_tot", "to_deg", *[f"to_{a}" for a in ready.attributes]]
-        best = F.min(F.when(taken, F.struct("_t", *edge))).alias("_e")
-        others = [c for c in self.carried if c != "wid"]
-        df = df.groupBy("wid").agg(best, F.first(F.struct(*others)).alias("_w")).select("wid", "_w.*", "_e")
-        took = F.col("_e").isNotNull()
-        df = df.select("*", *[F.col(f"_e.{c}").alias(c) for c in edge])
-        df = df.withColumn("a", F.when(took, F.lit(0)).otherwise(F.col("a") + TRIES)).withColumn("_took", took)
-        kept = self.keep(moved(df, self.walkers, ready, F.col("_took"), [*self.carried, "_took"]))
-        return kept.drop("_took"), kept.where("_took").select("wid", "step", "v")
-
-    def drop_stuck(self, df: DataFrame) -> DataFrame:
+        own = [c for c in self.carried if c != "wid"]
+        best = f"min(CASE WHEN _sure OR _dart < _d * {rng.P} THEN struct(_t, {', '.join(edge)}) END) AS _e, first(struct({', '.join(own)})) AS _w"
+        text = f"SELECT wid, {best} FROM ({text}) GROUP BY wid"
+        tried = ", ".join(f"CASE WHEN _e IS NULL THEN _w.a + {TRIES} ELSE 0 END AS a" if c == "a" else f"_w.{c}" for c in own)
+        text = f"SELECT wid, {tried}, {', '.join(f'_e.{c}' for c in edge)}, _e IS NOT NULL AS took FROM ({text})"
+        frames = {"state": state, "cells": ready.cells}
+        if spec.second_order:
+            frames["pairs"] = ready.pairs
+        if "{cdf}" in text:
+            frames |= {"cdf": ready.cdf, "vertices": ready.vertices}
+        done = self.keep(self.spark.sql(self.moved(text, "took", "took"), **frames))
+        return done.drop("took"), done.where("took").select("wid", "step", "v")
+
+    def without_stuck(self, going: str) -> str:
         """Ends walkers whose vertex has no edge with a positive dynamic component, after PATIENCE rejections.
 
         Few walkers get here; those that do have all their vertex's edges looked at, one row each, and none is collected.
         """
+        if self.most_tries < PATIENCE:
+            return going
         spec, ready = self.spec, self.ready
-        waiting = df.where((F.col("a") > 0) & (F.col("a") % PATIENCE == 0))
-        if waiting.isEmpty():
-            return df
-        edges = ready.cdf.select("src", "dst", *ready.payload)
-        there = ready.vertices.select(F.col("v").alias("dst"), *[F.col(f"at_{a}").alias(f"to_{a}") for a in ready.attributes])
-        rows = waiting.join(edges, waiting.v == edges.src).join(there, "dst", "left")
+        waiting = f"SELECT * FROM ({going}) WHERE a > 0 AND a % {PATIENCE} = 0"
+        payload = "".join(f", e.{c}" for c in ready.payload)
+        there = "".join(f", t.at_{a} AS to_{a}" for a in ready.attributes)
+        rows = f"SELECT w.*, e.dst{payload}{there} FROM ({waiting}) w JOIN {{cdf}} e ON e.src = w.v LEFT JOIN {{vertices}} t ON t.v = e.dst"
         if spec.second_order:
-            known = ready.pairs.withColumnsRenamed({"prev": "_p", "dst": "_d"}).withColumn("linked", F.lit(True))
-            rows = rows.join(known, (rows.prev == known._p) & (rows.dst == known._d), "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        free = rows.where(F.expr(spec.dynamic.sql) > 0).select("wid").distinct()
-        stuck = waiting.select("wid").join(free, "wid", "left_anti")
-        return df.join(stuck, "wid", "left_anti")
+            rows = with_link(rows, "prev")
+        free = f"SELECT wid FROM ({rows}) WHERE {spec.dynamic.sql} > 0"
+        stuck = f"SELECT wid FROM ({waiting}) s LEFT ANTI JOIN ({free}) f USING (wid)"
+        return f"SELECT g.* FROM ({going}) g LEFT ANTI JOIN ({stuck}) s ON g.wid = s.wid"
+
+
+def with_link(inner: str, prev: str) -> str:
+    """Adds linked: whether (prev, dst) is an edge."""
+    return f"SELECT w.*, p.prev IS NOT NULL AS linked FROM ({inner}) w LEFT JOIN {{pairs}} p ON w.{prev} = p.prev AND w.dst = p.dst"
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -386,21 +393,15 @@ def recursive(spark: SparkSession, graph: Graph, ready: Prepared, walkers: Walke
     tag = uuid.uuid4().hex[:12]
     seeds(spark, graph, walkers).select("wid", "h", "step", "v").createOrReplaceTempView(f"seeds_{tag}")
     ready.cdf.select("src", "dst", "lo", "hi", "tot").createOrReplaceTempView(f"cdf_{tag}")
-    p = rng.P
-
-    def power(inner: str, name: str) -> str:
-        return f"SELECT *, ((q_{name} * q_{name}) % {p}) * {name} % {p} AS {name}5 FROM (SELECT *, {name} * {name} % {p} AS q_{name} FROM ({inner}))"
-
-    text = power(f"SELECT wid, h, step, v, (h + step * 69621 + 40692) % {p} AS s FROM walk", "s")
-    for name, salt in (("x", rng.EXTEND), ("y", rng.EDGE), ("z", rng.EDGE + 1)):
-        text = power(f"SELECT *, (s5 + {salt * 16807 + 65539}) % {p} AS {name} FROM ({text})", name)
+    text = rng.sql_draws("SELECT * FROM walk", {"x": str(rng.EXTEND)} | edge_salts("0"), drop="EXCEPT")
+    r = f"(d._r1 * {rng.P} + d._r2) % c.tot"
     return spark.sql(f"""
         WITH RECURSIVE walk(wid, h, step, v) MAX RECURSION LEVEL {MOST_LEVELS + 2} AS (
             SELECT wid, h, step, v FROM seeds_{tag}
             UNION ALL
             SELECT d.wid, d.h, d.step + 1, c.dst FROM ({text}) d JOIN cdf_{tag} c
-            ON c.src = d.v AND (d.y5 * {p} + d.z5) % c.tot >= c.lo AND (d.y5 * {p} + d.z5) % c.tot < c.hi
-            WHERE d.x5 < CAST({spec.extend.sql} AS DOUBLE) * {p})
+            ON c.src = d.v AND {r} >= c.lo AND {r} < c.hi
+            WHERE d.x < CAST({spec.extend.sql} AS DOUBLE) * {rng.P})
         SELECT wid, step, v FROM walk""")
 
 

@@ -209,7 +209,7 @@ def alias_mass(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- matrices
 
 
-@query(f"WITH n AS (SELECT src, dst, sum(weight) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS prob FROM n")
+@query(f"WITH n AS (SELECT src, dst, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS prob FROM n")
 def static_transition(spark: SparkSession, d: str) -> DataFrame:
     return analytics.transition_matrix(heavy(spark, d).edges).select("src", "dst", F.round("prob", 6).alias("prob"))
 
@@ -248,7 +248,7 @@ def metapath_reachable(spark: SparkSession, d: str) -> DataFrame:
     return _typed_states(spark, d)[1].withColumnRenamed("step", "state")
 
 
-@query(REACH + """, m AS (SELECT r.v, r.scheme, r.state, e.dst, sum(e.weight) AS w FROM r JOIN schemes s ON s.scheme_id = r.scheme AND s.pos = r.state AND s.allowed
+@query(REACH + """, m AS (SELECT r.v, r.scheme, r.state, e.dst, CAST(sum(CAST(round(e.weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM r JOIN schemes s ON s.scheme_id = r.scheme AND s.pos = r.state AND s.allowed
   JOIN e ON e.src = r.v AND e.etype = s.etype GROUP BY 1, 2, 3, 4)
 SELECT v, scheme, state, dst, round(w / sum(w) OVER (PARTITION BY v, scheme, state), 6) AS prob FROM m""")
 def metapath_transition(spark: SparkSession, d: str) -> DataFrame:
