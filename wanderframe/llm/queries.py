@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_lift(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccur.common_baskets(table(spark, d, "footprints"), "walker", "vertex", LEAST, LIFT)
-    return pairs.select(F.col("item_a").alias("vertex_a"), F.col("item_b").alias("vertex_b"), "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"))
+    return pairs.select(F.col("item_a").alias("vertex_a"), F.col("item_b").alias("vertex_b"), "n_ab", "n_a", "n_b", "lift")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ WHERE p.n_ab * t.n >= 20 * a.n * b.n
 
 ORACLES = {
     "p3_found": PAIRS.format(columns="vertex_a, vertex_b"),
-    "p3_lift": PAIRS.format(columns="vertex_a, vertex_b, n_ab, a.n AS n_a, b.n AS n_b, round(CAST(n_ab * t.n AS DOUBLE) / (a.n * b.n), 4) AS lift"),
+    "p3_lift": PAIRS.format(columns="vertex_a, vertex_b, n_ab, a.n AS n_a, b.n AS n_b, CAST(n_ab * t.n AS DOUBLE) / (a.n * b.n) AS lift"),
     "p4_found": """
 SELECT vertex FROM footprints WHERE vertex IS NOT NULL GROUP BY vertex
 HAVING count(*) >= 0.005 * (SELECT count(vertex) FROM footprints)""",
