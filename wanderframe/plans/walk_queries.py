@@ -209,17 +209,17 @@ def alias_mass(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- matrices
 
 
-@query(f"WITH n AS (SELECT src, dst, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS prob FROM n")
+@query(f"WITH n AS (SELECT src, dst, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS prob FROM n")
 def static_transition(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.transition_matrix(heavy(spark, d).edges).select("src", "dst", F.round("prob", 6).alias("prob"))
+    return analytics.transition_matrix(heavy(spark, d).edges)
 
 
 @query(f"""WITH n AS ({BUSY}), r AS (
   SELECT a.src AS prev, a.dst AS cur, b.dst, b.weight * CASE WHEN b.dst = a.src THEN 0.5 WHEN k.src IS NOT NULL THEN 1.0 ELSE 2.0 END AS m
   FROM n a JOIN n b ON b.src = a.dst LEFT JOIN n k ON k.src = a.src AND k.dst = b.dst)
-SELECT prev, cur, dst, round(m / sum(m) OVER (PARTITION BY prev, cur), 6) AS prob FROM r""")
+SELECT prev, cur, dst, m / sum(m) OVER (PARTITION BY prev, cur) AS prob FROM r""")
 def node2vec_transition(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.node2vec_matrix(busy(nations(spark, d)).edges, 2.0, 0.5).select("prev", "cur", "dst", F.round("prob", 6).alias("prob"))
+    return analytics.node2vec_matrix(busy(nations(spark, d)).edges, 2.0, 0.5)
 
 
 def _typed_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
@@ -250,11 +250,11 @@ def metapath_reachable(spark: SparkSession, d: str) -> DataFrame:
 
 @query(REACH + """, m AS (SELECT r.v, r.scheme, r.state, e.dst, CAST(sum(CAST(round(e.weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM r JOIN schemes s ON s.scheme_id = r.scheme AND s.pos = r.state AND s.allowed
   JOIN e ON e.src = r.v AND e.etype = s.etype GROUP BY 1, 2, 3, 4)
-SELECT v, scheme, state, dst, round(w / sum(w) OVER (PARTITION BY v, scheme, state), 6) AS prob FROM m""")
+SELECT v, scheme, state, dst, w / sum(w) OVER (PARTITION BY v, scheme, state) AS prob FROM m""")
 def metapath_transition(spark: SparkSession, d: str) -> DataFrame:
     edges, states, ok = _typed_states(spark, d)
     m = analytics.typed_matrix(states, edges, ok, "weight")
-    return m.select("v", "scheme", F.col("step").alias("state"), "dst", F.round("prob", 6).alias("prob"))
+    return m.select("v", "scheme", F.col("step").alias("state"), "dst", "prob")
 
 
 TAGGED = f"SELECT src, dst, weight, CAST((src + 2 * dst) % 4 AS INTEGER) AS etype FROM ({BUSY})"
@@ -462,14 +462,14 @@ def walk_legality(spark: SparkSession, d: str) -> DataFrame:
     return moves.crossJoin(bad)
 
 
-@query(WALKED + "SELECT src, dst, n, round(n / sum(n) OVER (PARTITION BY src), 6) AS prob FROM (SELECT a.v AS src, b.v AS dst, count(*) AS n FROM t a JOIN t b ON b.wid = a.wid AND b.step = a.step + 1 GROUP BY 1, 2)")
+@query(WALKED + "SELECT src, dst, n, n / sum(n) OVER (PARTITION BY src) AS prob FROM (SELECT a.v AS src, b.v AS dst, count(*) AS n FROM t a JOIN t b ON b.wid = a.wid AND b.step = a.step + 1 GROUP BY 1, 2)")
 def empirical_transition(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.empirical_matrix(biased_walk(spark, d)).withColumn("prob", F.round("prob", 6))
+    return analytics.empirical_matrix(biased_walk(spark, d))
 
 
-@query(WALKED + "SELECT prev, cur, dst, n, round(n / sum(n) OVER (PARTITION BY prev, cur), 6) AS prob FROM (SELECT a.v AS prev, b.v AS cur, c.v AS dst, count(*) AS n FROM t a JOIN t b ON b.wid = a.wid AND b.step = a.step + 1 JOIN t c ON c.wid = a.wid AND c.step = a.step + 2 GROUP BY 1, 2, 3)")
+@query(WALKED + "SELECT prev, cur, dst, n, n / sum(n) OVER (PARTITION BY prev, cur) AS prob FROM (SELECT a.v AS prev, b.v AS cur, c.v AS dst, count(*) AS n FROM t a JOIN t b ON b.wid = a.wid AND b.step = a.step + 1 JOIN t c ON c.wid = a.wid AND c.step = a.step + 2 GROUP BY 1, 2, 3)")
 def empirical_second_order(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.empirical_second_order(biased_walk(spark, d)).withColumn("prob", F.round("prob", 6))
+    return analytics.empirical_second_order(biased_walk(spark, d))
 
 
 @query(WALKED + f"""SELECT count(*) AS entries, count(*) FILTER (WHERE s.p IS NULL) AS only_exact, count(*) FILTER (WHERE x.p IS NULL) AS only_seen,
@@ -487,6 +487,6 @@ def visit_frequency(spark: SparkSession, d: str) -> DataFrame:
     return analytics.visit_counts(rows.select(F.col("walker").alias("wid"), F.col("vertex").alias("v")))
 
 
-@query(walk_sql(NATIONS, "SELECT range AS wid, CAST(([3, 7, 11])[range % 3 + 1] AS BIGINT) AS v FROM range(300)", "0.9", "weight", finish=", t AS (SELECT wid, arg_max(v, step) AS v FROM walk WHERE a = 0 GROUP BY 1) SELECT v, count(*) AS n, round(count(*) / 300.0, 6) AS score FROM t GROUP BY 1"))
+@query(walk_sql(NATIONS, "SELECT range AS wid, CAST(([3, 7, 11])[range % 3 + 1] AS BIGINT) AS v FROM range(300)", "0.9", "weight", finish=", t AS (SELECT wid, arg_max(v, step) AS v FROM walk WHERE a = 0 GROUP BY 1) SELECT v, count(*) AS n, count(*) / 300 AS score FROM t GROUP BY 1"))
 def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.ppr_scores(ppr_start_list(spark, d)).withColumn("score", F.round("score", 6))
+    return analytics.ppr_scores(ppr_start_list(spark, d))
