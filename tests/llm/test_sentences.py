@@ -16,6 +16,7 @@ CASES = [
     ('She wrote "stop." on the board. Done.', ['She wrote "stop." on the board.', "Done."]),
     ('The log says: "None left." slot_a counts.', ['The log says: "None left."', "slot_a counts."]),
     ('"Does it stop?" asks the sink, and waits. Yes.', ['"Does it stop?" asks the sink, and waits.', "Yes."]),
+    ("(This holds.) score is unsigned. It is (see there.) odd.", ["(This holds.)", "score is unsigned.", "It is (see there.) odd."]),
     ("(This holds.) It does.", ["(This holds.)", "It does."]),
     ("Wait... it is not sorted. Who knows… The end.", ["Wait... it is not sorted.", "Who knows…", "The end."]),
     ("# Head line\nText one.\nText\ntwo.\n\n- item a\n- item b. More.\n1. first", ["Head line", "Text one.", "Text\ntwo.", "item a", "item b.", "More.", "first"]),

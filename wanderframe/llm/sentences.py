@@ -203,9 +203,9 @@ def goes_on(text: str, frame: tuple[int, str], first: int, after: int, hi: int,
     ch = word[0]
     if ch in ",;:，、；：—–-؛،·)]}）」』”»…":
         return True
-    if ch in OPENERS:
-        return False
     begin, opener = frame
+    if ch in OPENERS or (opener in BRACKETS and begin == first):
+        return False
     k = begin - 1
     while k >= first and white(text[k]):
         k -= 1
@@ -216,7 +216,7 @@ def goes_on(text: str, frame: tuple[int, str], first: int, after: int, hi: int,
         return not begins_sentence(word)
     if not ch.isalpha():
         return False
-    return begin != first if opener in BRACKETS else True
+    return True
 
 
 def block_sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
