@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wanderframe.session import kept
+
 #: Items of a basket from which it is heavy.
 HEAVY = 2_000
 #: Pairs that a task combines before it gives them out.
@@ -117,8 +119,9 @@ def common_baskets(df: DataFrame, basket: str, item: str, least: int = 10, lift:
     total = named.agg(F.count_distinct("basket").alias("n_baskets"))
     visits = named.where(F.col("item").isNotNull()).distinct()
     sizes = visits.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    items = sizes.where(F.col("n") >= least).join(F.broadcast(total), F.col("n") * lift <= F.col("n_baskets"))
-    cells = visits.join(items.select("item"), "item").select("basket", "item")
+    # both are small beside the input, and several passes read them
+    items = kept(sizes.where(F.col("n") >= least).join(F.broadcast(total), F.col("n") * lift <= F.col("n_baskets")))
+    cells = kept(visits.join(items.select("item"), "item").select("basket", "item"))
     large = cells.groupBy("basket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > heavy).select("basket")
     n_large = large.count()
     light = cells.join(F.broadcast(large), "basket", "left_anti") if n_large else cells
