@@ -124,11 +124,11 @@ def common_baskets(df: DataFrame, basket: str, item: str, least: int = 10, lift:
     cells = kept(visits.join(items.select("item"), "item").select("basket", "item"))
     large = cells.groupBy("basket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > heavy).select("basket")
     n_large = large.count()
-    light = cells.join(F.broadcast(large), "basket", "left_anti") if n_large else cells
+    light = cells.join(large, "basket", "left_anti") if n_large else cells
     light = light.repartition("basket").sortWithinPartitions("basket", "item")
     pairs = light.mapInArrow(block_products, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
     if n_large:
-        sets = cells.join(F.broadcast(large), "basket", "left_semi").groupBy("item").agg(F.collect_list("basket").alias("baskets"))
+        sets = cells.join(large, "basket", "left_semi").groupBy("item").agg(F.collect_list("basket").alias("baskets"))
         shared = F.coalesce(F.size(F.array_intersect("sets_a", "sets_b")), F.lit(0)).cast("long")
         found = (
             pairs.where(F.col("n_ab") >= least - n_large)
