@@ -77,7 +77,24 @@ SELECT {columns} FROM p JOIN s a ON a.vertex = p.vertex_a JOIN s b ON b.vertex =
 WHERE p.n_ab * t.n >= 20 * a.n * b.n
 """
 
+# The canonical form again, in an expression language without lookaround.
+CANON = r"""
+WITH a AS (SELECT rec_id, lower(record) AS s FROM edge_records WHERE record IS NOT NULL),
+b AS (SELECT rec_id, regexp_replace(regexp_replace(s, '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g') AS s FROM a),
+c AS (SELECT rec_id, '  ' || regexp_replace(s, '[^\p{L}\p{M}\p{N}' || chr(57344) || ']+', '  ', 'g') || '  ' AS s FROM b),
+d AS (SELECT rec_id, s, replace(regexp_replace(s, ' (src|dst|weight) ', chr(57345) || '\1=', 'g'), ' ', '') AS f FROM c),
+e AS (SELECT rec_id, s, list_sort(list_filter(string_split(f, chr(57345))[2:], lambda x: NOT ends_with(x, '='))) AS f FROM d),
+canon AS (SELECT rec_id, CASE WHEN len(f) > 0 THEN array_to_string(f, '|') ELSE '?' || replace(s, ' ', '') END AS c FROM e)
+"""
+
+
+def field_sql(name: str) -> str:
+    return f"nullif(replace(regexp_extract(c, '(?:^|\\|){name}=([^|]*)', 1), chr(57344), '.'), '') AS {name}"
+
+
 ORACLES = {
+    "p5_found": CANON + "SELECT keep_id, rec_id AS copy_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITION BY c) AS keep_id FROM canon) WHERE rec_id <> keep_id",
+    "p5_records": CANON + f"SELECT min(rec_id) AS keep_id, {field_sql('src')}, {field_sql('dst')}, {field_sql('weight')}, count(*) AS n_copies FROM canon GROUP BY c",
     "p3_found": PAIRS.format(columns="vertex_a, vertex_b"),
     "p3_lift": PAIRS.format(columns="vertex_a, vertex_b, n_ab, a.n AS n_a, b.n AS n_b, CAST(n_ab * t.n AS DOUBLE) / (a.n * b.n) AS lift"),
     "p4_found": """

@@ -51,7 +51,7 @@ LOOSE = "etc al a.m p.m min max sec hrs hr hours est inc ltd corp co jr sr bros
 #: Words in front of an ordinal number such as the German `am 12. März`.
 ORDINAL = set("der die das den dem des am im vom zum zur beim ab bis seit ein eine einen einem einer jeder jede jedes ihr ihre sein seine".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
-LIST_OR_HEADING = re.compile(r"(?:[^\S\n\r]|\ufeff)*(?:(#{1,6})(?=\s|$)|([-*+•‣·–](?=\s)|\d{1,9}[.)](?=\s)))")
+LIST_OR_HEADING = re.compile(r"(?:[^\S\n\r]|\ufeff)*(?:(#{1,6})(?=\s|$)|([-*](?=\s)|\d{1,9}[.)](?=\s)))")
 WHITE = "﻿​"
 
 
