@@ -33,7 +33,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def nations(spark: SparkSession, d: str) -> Graph:
-    """From the supplier's nation to the customer's; weight is the quantity sold, etype the busiest ship mode's first letters."""
+    """From the supplier's nation to the customer's; weight is the quantity sold."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("src"))
