@@ -70,6 +70,24 @@ def test_static_strategies_agree(spark):
     assert moved == three[0]
 
 
+def test_only_walkers_shuffle(spark):
+    g = ring(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = engine.Supersteps(spark, g, engine.prepare(g, "weight", False), WalkerConfig(10), apps.deepwalk(8, True), WalkConfig())
+        df = run.static_plan(run.keep(run.start(None, None)))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines = [x.strip(" :+-") for x in plan.split("\n")]
+        assert sum(x.startswith("SortMergeJoin") for x in lines) == engine.MOVES
+        scans = [k for k, x in enumerate(lines) if x.startswith("InMemoryTableScan")]
+        assert len(scans) == engine.MOVES
+        # above each scan of the cells stands neither an exchange nor a sort
+        assert all(not lines[k - 1].startswith(("Exchange", "Sort ")) and not lines[k - 2].startswith(("Exchange", "Sort ")) for k in scans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize("name", ["dynamic", "node2vec", "metapath", "tag", "outlier", "hash"])
 def test_dynamic_strategies_agree(spark, name):
     g = ring(spark)

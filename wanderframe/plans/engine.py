@@ -48,6 +48,17 @@ class BoundError(ValueError):
     """A dynamic component left the bounds that the walk declares."""
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Cached in partitions by the keys and in their order, as joins on them want it.
+
+    The cache is filled at once: only then is its plan final, and joins rely on its partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, *keys).sortWithinPartitions(*keys).persist()
+    df.count()
+    return df
+
+
 class Prepared:
     """What depends on the graph and the static component only, so that several walks can share it.
 
@@ -62,6 +73,7 @@ class Prepared:
         self.payload = [c for c in graph.edges.columns if c not in ("src", "dst")]
         self.n_edges = self.cdf.count()
         self.sent: dict = {}
+        self.views: dict[str, str] = {}
 
     @cached_property
     def vertices(self) -> DataFrame:
@@ -74,14 +86,24 @@ class Prepared:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """Stays partitioned by (src, cell), so that in a superstep only the walkers move."""
-        return kept(st.cells(self.cdf, self.vertices)).repartition("src", "cell").persist()
+        """Stays partitioned and sorted by (src, cell), so that in a superstep only the walkers move and are sorted."""
+        return placed(kept(st.cells(self.cdf, self.vertices)), "src", "cell")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return kept(self.cdf.select(F.col("src").alias("prev"), "dst").distinct()).repartition("prev", "dst").persist()
+        return placed(kept(self.cdf.select(F.col("src").alias("prev"), "dst").distinct()), "prev", "dst")
+
+    def view(self, name: str) -> str:
+        """Name of a view of one of the tables.  It stays until release: dropping a view would drop the cached data too."""
+        if name not in self.views:
+            self.views[name] = f"{name}_{uuid.uuid4().hex[:12]}"
+            getattr(self, name).createOrReplaceTempView(self.views[name])
+        return self.views[name]
 
     def release(self) -> None:
+        for v in self.views.values():
+            self.graph.spark.catalog.dropTempView(v)
+        self.views.clear()
         for name in ("cells", "pairs"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
@@ -179,6 +201,12 @@ class Supersteps:
                 return _union(visits)
         raise RuntimeError(f"walkers are left after {self.config.max_steps} jobs")
 
+    def sql(self, text: str, state: DataFrame) -> DataFrame:
+        for name in ("cells", "pairs", "cdf", "vertices"):
+            if f"{{{name}}}" in text:
+                text = text.replace(f"{{{name}}}", self.ready.view(name))
+        return self.spark.sql(text, state=state)
+
     @property
     def extends(self) -> str:
         """Whether the walker takes another step, by its draw _x; one draw for each step."""
@@ -190,7 +218,7 @@ class Supersteps:
         columns = [f"CASE WHEN {took} THEN {place[c]} ELSE {c} END AS {c}" if c in place else f"`{c}`" for c in self.carried]
         return f"SELECT {', '.join([*columns, *more])} FROM (SELECT * EXCEPT (step), CASE WHEN {took} THEN step + 1 ELSE step END AS step FROM ({inner}))"
 
-    def static_job(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def static_plan(self, state: DataFrame) -> DataFrame:
         """MOVES moves; rows carry the vertices they found since the job began."""
         df = state.selectExpr("*", "CAST(array() AS ARRAY<BIGINT>) AS hops", "true AS on_way")
         text = rng.sql_draws("SELECT * FROM {state}", {"_x": str(rng.EXTEND)} | edge_salts("0"), drop="EXCEPT")
@@ -198,8 +226,11 @@ class Supersteps:
         text = with_edge(with_cell(text, "on_way"), "LEFT")
         text = self.moved(text, "dst IS NOT NULL", "CASE WHEN dst IS NOT NULL THEN concat(hops, array(dst)) ELSE hops END AS hops", "dst IS NOT NULL AS on_way")
         for _ in range(MOVES):  # one statement for each move, so that the analyzer never meets a deep tree
-            df = self.spark.sql(text, state=df, cells=self.ready.cells)
-        done = self.keep(df)
+            df = self.sql(text, df)
+        return df
+
+    def static_job(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = self.keep(self.static_plan(state))
         found = done.selectExpr("wid", "step - size(hops) AS base", "posexplode(hops) AS (i, v)").selectExpr("wid", "base + i + 1 AS step", "v")
         return done.where("on_way").drop("hops", "on_way"), found
 
@@ -229,12 +260,7 @@ class Supersteps:
         text = f"SELECT wid, {best} FROM ({text}) GROUP BY wid"
         tried = ", ".join(f"CASE WHEN _e IS NULL THEN _w.a + {TRIES} ELSE 0 END AS a" if c == "a" else f"_w.{c}" for c in own)
         text = f"SELECT wid, {tried}, {', '.join(f'_e.{c}' for c in edge)}, _e IS NOT NULL AS took FROM ({text})"
-        frames = {"state": state, "cells": ready.cells}
-        if spec.second_order:
-            frames["pairs"] = ready.pairs
-        if "{cdf}" in text:
-            frames |= {"cdf": ready.cdf, "vertices": ready.vertices}
-        done = self.keep(self.spark.sql(self.moved(text, "took", "took"), **frames))
+        done = self.keep(self.sql(self.moved(text, "took", "took"), state))
         return done.drop("took"), done.where("took").select("wid", "step", "v")
 
     def without_stuck(self, going: str) -> str:
