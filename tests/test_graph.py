@@ -133,3 +133,17 @@ def test_cells_cover_every_draw_once(spark):
             k = int(float(r) * (float(deg) / float(t)))
             assert len([c for c in cells if c["src"] == v and c["cell"] == k and c["lo"] <= r < c["hi"]]) == 1
     assert len(cells) <= 2 * 5
+
+
+@pytest.mark.parametrize("undirected", [True, False])
+def test_random_graphs(spark, undirected):
+    from wanderframe.sources.random_graphs import random_edges
+
+    rows = [tuple(r) for r in random_edges(spark, 30, 100, undirected).collect()]
+    assert len(rows) == 100 and len({r[:2] for r in rows}) == 100
+    assert all(a != b and 0 <= a < 30 and 0 <= b < 30 and w in (1, 2, 3, 4, 5) and 0 <= t < 5 for a, b, w, t in rows)
+    assert sorted(rows) == sorted(tuple(r) for r in random_edges(spark, 30, 100, undirected).repartition(3).collect())
+    if undirected:
+        assert {r[:2] for r in rows} == {(b, a) for a, b, *_ in rows}
+    with pytest.raises(ValueError):
+        random_edges(spark, 5, 20)
