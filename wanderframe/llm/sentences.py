@@ -123,7 +123,7 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
                 begin = None
             else:
                 begin, last = m.end(), end
-        elif all(white(c) for c in line):
+        elif not line.strip() or not line.strip().strip(WHITE):
             if begin is not None:
                 yield begin, last
             begin = None
@@ -330,13 +330,18 @@ def comments_only(text: str, language: str) -> str:
             continue
         gap = text[at : m.start()]
         bound = bool(gap.strip()) or gap.count("\n") > 1
-        pieces.append("\n" * len(gap) if bound else gap)
+        pieces.append(blank_line(len(gap)) if bound else gap)
         pieces.append(MARKS.sub(lambda x: " " * len(x.group()), m.group()))
         at = m.end()
-    pieces.append("\n" * (len(text) - at))
+    pieces.append(blank_line(len(text) - at))
     return "".join(pieces)
 
 
+def blank_line(n: int) -> str:
+    """n characters that bound what stands before and behind them."""
+    return "\n" + " " * (n - 2) + "\n" if n > 1 else "\n" * n
+
+
 def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind: Column | None = None, language: Column | None = None) -> DataFrame:
     """(key, sent_start, sent_end) of every sentence; texts of kind `code` give those of their comments."""
     kind = F.lit("prose") if kind is None else kind
