@@ -114,20 +114,17 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
     last = 0
     for line in text.splitlines(keepends=True):
         end = at + len(line)
-        m = LIST_OR_HEADING.match(text, at, end)
-        if m and m.end() <= end:
-            if begin is not None:
-                yield begin, last
-            if m.group(1):
-                yield m.end(), end
-                begin = None
-            else:
-                begin, last = m.end(), end
-        elif not line.strip() or not line.strip().strip(WHITE):
+        blank = not line.strip() or not line.strip().strip(WHITE)
+        m = None if blank else LIST_OR_HEADING.match(text, at, end)
+        if blank or m:
             if begin is not None:
                 yield begin, last
             begin = None
-        else:
+        if m and m.group(1):
+            yield m.end(), end
+        elif m:
+            begin, last = m.end(), end
+        elif not blank:
             begin, last = at if begin is None else begin, end
         at = end
     if begin is not None:
