@@ -55,6 +55,39 @@ def test_comments_keep_their_place():
     assert [code[a:b] for a, b in s.sentences(masked)] == ["First one.", "Second\n# goes on.", "Last"]
 
 
+def noted(code, language="", path=""):
+    masked = s.comments_only(code, language, path)
+    assert len(masked) == len(code)
+    return [code[a:b] for a, b in s.sentences(masked)]
+
+
+UNNAMED = [
+    ('def f(a):\n    """One. Two."""\n    return a // 2  # Three.\n', "", ["One.", "Two.", "Three."]),
+    ("-- One. Two.\nCREATE TABLE t (\n  a BIGINT, -- Three.\n  b DOUBLE\n);\n", "x.txt", ["One.", "Two.", "Three."]),
+    ("<!-- One. Two. -->\n<p>No.</p>\n", "", ["One.", "Two."]),
+    ('#include <a>\n#define B 1\nint x = 1; // One. Two.\nx--;\n', "x.cpp", ["One.", "Two."]),
+    ("#[derive(Debug)]\npub struct A {} /* One. */\n", "x.rs", ["One."]),
+    ("# One.\nconstexpr int a = 0;\n", "x.rs", ["One."]),
+    ("# One\n<!-- Two. -->\n<p></p>\n", "x.html", ["One", "Two."]),
+    ('a = {\n    "b": 1,  # One.\n}\n', "x.py", ["One."]),
+    ("0x1 # One.\n\n0x2 // Two.\n\n0x3 -- Three.\n\n<!-- Four. -->\n\n/* Five. */\n\n0x4 http://no\n\n\"\"\"Six.\"\"\"", "", ["One.", "Two.", "Three.", "Four.", "Five.", "Six."]),
+]
+
+
+@pytest.mark.parametrize(("code", "path", "want"), UNNAMED)
+@pytest.mark.parametrize("language", ["", "no_such_language"])
+def test_comments_of_unnamed_languages(code, path, want, language):
+    assert noted(code, language, path) == want
+
+
+def test_unnamed_language_in_spark(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, '"""A."""\n', None, "b.py"), (2, "-- A.\n0x1", None, "b.sql"), (3, "#define A\n", None, None)], "doc_id long, text string, prog_lang string, path string")
+    found = s.split_sentences(df, kind=F.lit("code"), language=F.col("prog_lang"), path=F.col("path"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, 5), (2, 3, 5)]
+
+
 def test_in_spark(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "prose"), (1, "A b. C d.", "prose"), (2, None, "prose"), (3, "", "code"), (4, "// One. Two.\nint x;", "code")], "doc_id long, text string, kind string").selectExpr("*", "1 AS sent_start")
     from pyspark.sql import functions as F

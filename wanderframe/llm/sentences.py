@@ -295,19 +295,63 @@ STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 DOC = r'"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)'
 HASH = r"#[^\n]*"
 DASH = r"--[^\n]*"
-#: Comment syntax by language family; a language that is not named here uses `//`, `/* */` and `#`.
+ANGLE = r"<!--.*?(?:-->|\Z)"
+#: A line of the C preprocessor, which a `#` begins as well.
+DIRECTIVE = r"#(?:include|define|undef|ifn?def|if|el(?:if|se)|endif|pragma|error|warning|line|import)\b|#[^\S\n]+(?:include[^\S\n]*[<\"]|(?:define|undef|ifn?def)[^\S\n]+[A-Z_]|pragma\b|endif\b)"
+#: Comment syntax by language family.
 FAMILIES = {
     **dict.fromkeys(("python",), (DOC, HASH)),
     **dict.fromkeys(("shell", "bash", "sh", "yaml", "toml", "ruby", "perl", "r", "make", "makefile", "cmake", "dockerfile", "ini"), ("", HASH)),
     **dict.fromkeys(("sql", "lua", "haskell"), ("", DASH + r"|/\*.*?(?:\*/|\Z)")),
-    **dict.fromkeys(("html", "xml", "markdown"), ("", r"<!--.*?(?:-->|\Z)")),
+    **dict.fromkeys(("html", "xml", "markdown"), ("", ANGLE)),
     **dict.fromkeys(("json", "csv", "text"), ("", r"(?!)")),
+    **dict.fromkeys("c cpp c++ cuda objective-c csharp c# java kotlin scala groovy javascript typescript jsx tsx rust go swift dart css scss less proto".split(), ("", SLASH)),
+    "php": ("", SLASH + "|" + HASH),
 }
+#: All forms at once, for a text whose language nothing tells.
+ANY = (DOC, rf"(?<!:)//[^\n]*|/\*.*?(?:\*/|\Z)|{ANGLE}|(?<![\w$&{{])(?!{DIRECTIVE})#(?!!?\[)[^\n]*|(?<!\S)--(?!\S)[^\n]*")
+#: Forms of other families that stand alone; a guessed language keeps them, as headers of another language are common.
+FOREIGN = rf"(?<!\S)(?!{DIRECTIVE})#+(?!\S)[^\n]*|(?m:^)[^\S\n]*(?://+(?!\S)[^\n]*|--(?!\S)[^\n]*|/\*.*?(?:\*/|\Z)|{ANGLE})"
+EXTENSIONS = {
+    **dict.fromkeys("py pyi pyw".split(), "python"),
+    **dict.fromkeys("sh bash zsh ksh yml yaml toml ini cfg rb pl pm r mk cmake makefile dockerfile".split(), "shell"),
+    **dict.fromkeys("sql lua hs".split(), "sql"),
+    **dict.fromkeys("html htm xhtml xml svg".split(), "html"),
+    **dict.fromkeys("c h cc cpp cxx hh hpp hxx cu m cs java kt scala groovy js jsx mjs cjs ts tsx rs go swift dart css scss less proto".split(), "cpp"),
+    "php": "php",
+}
+#: Lines by which a text tells its family.
+SIGNS = {
+    "python": r"^\s*(?:(?:async )?def \w+\(|(?:class \w.*|elif .*|else|try|finally|except\b.*|with .*|(?:for|while|if) .*):[^\S\n]*(?:#.*)?$|from [\w.]+ import |import [\w.]+(?: as \w+)?[^\S\n]*$)|^#!.*python",
+    "shell": r"^#!.*sh\b|^\s*(?:fi|done|esac)\b|^\s*(?:export|local) \w+=|;\s*(?:do|then)[^\S\n]*$|^\s*(?:set -|echo )|^\s*(?:- )?[\w.-]+:(?:[^\S\n]+[^\s{].*[^\s;,{(]|[^\S\n]+[^\s;,{(]|[^\S\n]*)$",
+    "sql": r"^\s*(?:(?i:select\b|create (?:or replace )?(?:table|view|index)\b|insert into\b|delete from\b|alter table\b|drop table\b|group by\b|(?:left |right |inner |cross )?join\b|order by\b)|(?:FROM|WHERE|UPDATE)\b)",
+    "html": r"^\s*</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|^\s*<(?:!DOCTYPE|\?xml)\b",
+    "cpp": r"^\s*#\s*(?:include|define|undef|ifn?def|endif|pragma)\b|(?:;|\}\)|[\w)>][^\S\n]*\{)[^\S\n]*(?://.*|/\*.*)?$|^\s*(?:package \w+|import \"|func |fn |pub |use [\w:]+|#!?\[)|=>|:=|\bstd::",
+}
+
+
+@lru_cache(maxsize=1)
+def signs() -> dict[str, re.Pattern]:
+    return {family: re.compile(pattern, re.MULTILINE) for family, pattern in SIGNS.items()}
+
+
+def guessed(text: str, path: str) -> str:
+    """The family that most lines show; the name's last known extension decides between equals, and "" stands for none."""
+    score: dict[str, float] = {family: sum(1 for _ in sign.finditer(text)) for family, sign in signs().items()}
+    parts = re.split(r"[./\\]", path.lower())
+    named = next((EXTENSIONS[x] for x in reversed(parts) if x in EXTENSIONS), "")
+    if named:
+        score[named] = score.get(named, 0) + (score.get("cpp", 0) if named == "php" else 0) + 0.5
+    best = max(score.values())
+    top = [family for family, n in score.items() if n == best]
+    return top[0] if best and len(top) == 1 else ""
 
 
 @lru_cache(maxsize=64)
-def comment_pattern(language: str) -> re.Pattern:
-    doc, line = FAMILIES.get(language, ("", SLASH + "|" + (HASH if language in ("php", "") else r"(?!)")))
+def comment_pattern(language: str, sure: bool = True) -> re.Pattern:
+    doc, line = FAMILIES.get(language, ANY)
+    if not sure and language:
+        line = f"{line}|{FOREIGN}"
     parts = ([f"(?P<doc>{doc})"] if doc else []) + [f"(?P<note>{line})", STRINGS]
     return re.compile("|".join(parts), re.DOTALL)
 
@@ -315,21 +359,26 @@ def comment_pattern(language: str) -> re.Pattern:
 MARKS = re.compile(r"(?m)^[^\S\n]*(?://[/!]*|#+!?|--+|/\*+!?|\*+(?!/)|<!--)|\*+/|-->|\"\"\"|\'\'\'")
 
 
-def comments_only(text: str, language: str) -> str:
+def comments_only(text: str, language: str, path: str = "") -> str:
     """The text with all but its comments blanked, character for character.
 
     Code becomes an empty line between comments, so that it bounds sentences;
     comment marks become blanks, so that one comment over several lines reads on.
+    A language that FAMILIES does not name is guessed from the text and the path.
     """
-    pieces, at = [], 0
-    for m in comment_pattern(language).finditer(text):
+    pieces, at, before = [], 0, ""
+    sure = language in FAMILIES
+    for m in comment_pattern(language if sure else guessed(text, path), sure).finditer(text):
         if not (m.groupdict().get("doc") or m.group("note")):
             continue
         gap = text[at : m.start()]
         bound = bool(gap.strip()) or gap.count("\n") > 1
         pieces.append(blank_line(len(gap)) if bound else gap)
-        pieces.append(MARKS.sub(lambda x: " " * len(x.group()), m.group()))
-        at = m.end()
+        note = MARKS.sub(lambda x: " " * len(x.group()), m.group())
+        mark = m.group().lstrip()[:1]
+        # a guessed language may have comments of two kinds on neighbouring lines, which are two comments
+        pieces.append(note if sure or mark == before else "\n" + note[1:])
+        at, before = m.end(), mark
     pieces.append(blank_line(len(text) - at))
     return "".join(pieces)
 
@@ -339,17 +388,17 @@ def blank_line(n: int) -> str:
     return "\n" + " " * (n - 2) + "\n" if n > 1 else "\n" * n
 
 
-def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind: Column | None = None, language: Column | None = None) -> DataFrame:
+def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind: Column | None = None, language: Column | None = None, path: Column | None = None) -> DataFrame:
     """(key, sent_start, sent_end) of every sentence; texts of kind `code` give those of their comments."""
     kind = F.lit("prose") if kind is None else kind
-    language = F.lit("") if language is None else language
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), kind.alias("kind"), F.lower(F.coalesce(language, F.lit(""))).alias("language"))
+    language, path = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (language, path))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), kind.alias("kind"), F.lower(language).alias("language"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, spans = [], []
-            for i, (t, k, lang) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                found = sentences(comments_only(t, lang) if k == "code" else t)
+            for i, (t, k, lang, name) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
+                found = sentences(comments_only(t, lang, name) if k == "code" else t)
                 owner += [i] * len(found)
                 spans += found
             at = np.array(spans, np.int64).reshape(-1, 2)
