@@ -28,3 +28,12 @@ def test_plan_combines_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, 1.0)], "src long, weight double")
     plan = keyed.key_totals(df, "src", "weight")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "partial_sum" in plan
+
+
+def test_sums_hold_every_finite_weight(spark):
+    weights = {1: [1e15, 2.5], 2: [3e-7] * 10, 3: [1e308, 1e308, -1e308, None], 4: [5e-324], 5: [1e20, 1.0, -1e20, math.inf, -math.inf, math.nan], 6: [1e12, -1e12, 0.1234567], 7: [0.1, 0.2], 8: [math.nan, None]}
+    df = spark.createDataFrame([(k, w) for k, own in weights.items() for w in own], "src long, weight double").repartition(3)
+    got = {r.vertex: (r.degree, r.sum_weight) for r in keyed.key_totals(df, "src", "weight").collect()}
+    want = {1: 1e15 + 2.5, 2: 3e-6, 3: 1e308, 4: 5e-324, 5: 1.0, 6: 0.1234567, 7: 0.3, 8: 0.0}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(own) for k, own in weights.items()}
+    assert all(math.isclose(got[k][1], x, rel_tol=1e-12) for k, x in want.items())

@@ -6,8 +6,9 @@ memory is used up) and only those states shuffle: a key with a third of all
 rows arrives as at most one row from each map task.
 
 Results by case: rows with a null key are left out; a null, NaN or infinite
-weight counts for the degree and adds nothing to the sum; a key whose weights
-are all null has sum 0; repeated rows count each; an empty table gives an
+weight counts for the degree and adds nothing to the sum, every finite weight
+adds its whole value; a key whose weights are all null has sum 0; a sum beyond
+the range of doubles is infinite; repeated rows count each; an empty table gives an
 empty result; other columns are never read.
 """
 
@@ -17,16 +18,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_sum(weight: Column) -> Column:
-    """Sum in decimals: the same for every order of rows and number of partitions."""
-    finite = F.when(F.abs(weight) < F.lit(1e12), weight)
-    return F.coalesce(F.sum(finite.cast("decimal(20,6)")), F.lit(0)).cast("double")
+#: Weights from here on are summed as doubles.
+LARGE = 1e12
+#: A power of two by which large weights are divided, so that no sum of them overflows on the way.
+SCALE = 2.0**70
+
+
+def whole_sum(weight: Column) -> Column:
+    """Sum of all finite weights.
+
+    Weights below LARGE are summed in decimals of six places: the same for every order of rows and number of
+    partitions.  What they have beyond six places, and larger weights, are summed as doubles, whose last bits may
+    depend on the order.
+    """
+    size = F.abs(weight)
+    small = F.when(size < F.lit(LARGE), weight)
+    places = small.cast("decimal(20,6)")
+    large = F.when((size >= F.lit(LARGE)) & (size < F.lit(float("inf"))), weight / F.lit(SCALE))
+    parts = F.sum(places).cast("double"), F.sum(small - places.cast("double")), F.sum(large) * F.lit(SCALE)
+    return sum((F.coalesce(x, F.lit(0.0)) for x in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
 
 
 def key_totals(df: DataFrame, key: str, weight: str, name: str = "vertex") -> DataFrame:
     """(name, degree, sum_weight) of every key."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias(name), F.col(weight).cast("double").alias("_w"))
-    return rows.groupBy(name).agg(F.count(F.lit(1)).alias("degree"), exact_sum(F.col("_w")).alias("sum_weight"))
+    return rows.groupBy(name).agg(F.count(F.lit(1)).alias("degree"), whole_sum(F.col("_w")).alias("sum_weight"))
 
 
 def frequent_keys(df: DataFrame, key: str, share: float, name: str = "vertex") -> DataFrame:
