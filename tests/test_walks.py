@@ -176,6 +176,17 @@ def test_bounds_are_checked_on_demand(spark):
         rows_of(engine.random_walk(ring(spark), WalkerConfig(5), spec, WalkConfig(check_bounds=True)))
 
 
+@pytest.mark.parametrize("named", [[(0, 1.0), (1, 2.0), (9, 3.0)], [(0, 1.0), (9, None)], []])
+def test_vertices_without_attributes(spark, named):
+    """Vertices 5 and 7 have no out-edges, and no attributes: their neighbours' attributes must not stand in."""
+    edges = spark.createDataFrame([(0, 1), (0, 5), (1, 0), (1, 7), (1, 1)], "src long, dst long")
+    graph = Graph(edges, 10, spark.createDataFrame(named, "v long, rank double"))
+    read = Transition(Component("CASE WHEN step < 6 THEN 1.0 ELSE 0.0 END", lambda step, **_: (step < 6) * 1.0), dynamic=Component("to_rank", lambda to_rank, **_: to_rank), upper=3.0)
+    a, b = strategies(graph, WalkerConfig(60), read, ("supersteps", "tasks"))
+    assert a == b
+    assert not {v for _, step, v in a if step} & {5, 7}
+
+
 def test_null_and_repeated_walkers(spark):
     table = spark.createDataFrame([(1, 0, 2), (2, None, 2), (None, 1, 2), (3, 77, 2)], "wid long, start long, len int")
     got = rows_of(engine.random_walk(ring(spark), WalkerConfig(table=table), apps.deepwalk("len")))

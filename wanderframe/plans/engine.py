@@ -353,8 +353,13 @@ def walk_batch(g: dict, w: dict[str, np.ndarray], spec: Transition, update: dict
     def attributes(v: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
         if "a" not in g:
             return {}
+        if not len(g["a_names"]):
+            return {f"{prefix}{k}": np.full(len(v), np.nan) for k in g["a"]}
         at = np.minimum(np.searchsorted(g["a_names"], v), len(g["a_names"]) - 1)
-        return {f"{prefix}{k}": x[at] for k, x in g["a"].items()}
+        there = g["a_names"][at] == v
+        if there.all():
+            return {f"{prefix}{k}": x[at] for k, x in g["a"].items()}
+        return {f"{prefix}{k}": np.where(there, x[at], np.nan if x.dtype.kind in "biuf" else None) for k, x in g["a"].items()}
 
     def linked(p: np.ndarray, x: np.ndarray) -> np.ndarray:
         both, pairs = g["both"], g["pairs"]
@@ -366,6 +371,11 @@ def walk_batch(g: dict, w: dict[str, np.ndarray], spec: Transition, update: dict
     def full(x: object, rows: int) -> np.ndarray:
         return np.broadcast_to(np.asarray(x, np.float64), (rows,))
 
+    def dynamic(names: dict[str, np.ndarray], rows: int) -> np.ndarray:
+        """A component without a value, as where it reads an attribute that is not there, is 0."""
+        d = full(spec.dynamic.vector(**names), rows)
+        return np.where(np.isnan(d), 0.0, d)
+
     for _ in range(most * PATIENCE):
         if not len(w["wid"]) or not len(g["names"]):
             return
@@ -383,7 +393,7 @@ def walk_batch(g: dict, w: dict[str, np.ndarray], spec: Transition, update: dict
                 e = slice(g["first"][i[k]], g["first"][i[k]] + g["n"][i[k]])
                 one = {c: np.repeat(x[k : k + 1], e.stop - e.start) for c, x in (w | now).items()}
                 more = {"linked": linked(one["prev"], g["dst"][e])} if spec.second_order else {}
-                d = full(spec.dynamic.vector(**one, dst=g["dst"][e], **{c: x[e] for c, x in g["payload"].items()}, **attributes(g["dst"][e], "to_"), **more), e.stop - e.start)
+                d = dynamic(one | {"dst": g["dst"][e]} | {c: x[e] for c, x in g["payload"].items()} | attributes(g["dst"][e], "to_") | more, e.stop - e.start)
                 keep[k] = (d > 0).any()
             w, i, now = {k: x[keep] for k, x in w.items()}, i[keep], {k: x[keep] for k, x in now.items()}
         salt = w["a"] * rng.PER_ATTEMPT + rng.EDGE
@@ -395,7 +405,7 @@ def walk_batch(g: dict, w: dict[str, np.ndarray], spec: Transition, update: dict
             names = w | now | edge | attributes(edge["dst"], "to_")
             if spec.second_order:
                 names["linked"] = linked(w["prev"], edge["dst"])
-            ub, d = full(spec.bound.vector(**names), len(i)), full(spec.dynamic.vector(**names), len(i))
+            ub, d = full(spec.bound.vector(**names), len(i)), dynamic(names, len(i))
             if check and ((d > ub).any() or (spec.lower is not None and (d < full(spec.lower.vector(**names), len(i))).any())):
                 raise BoundError("dynamic component outside its bounds")
             took = rng.np_draw(w["h"], w["step"], salt + 2) * ub < d * rng.P
