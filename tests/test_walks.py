@@ -107,6 +107,33 @@ def test_dynamic_strategies_agree(spark, name):
     assert Counter(s for _, s, _ in a)[0] == 40
 
 
+@pytest.mark.parametrize("name", ["node2vec_edges_supersteps", "metapath_edges_supersteps"])
+def test_rejection_supersteps_over_tables(spark, tmp_path, monkeypatch, name):
+    """The registered queries take the rejection supersteps and give their oracle's rows."""
+    import duckdb
+
+    from wanderframe.plans import walk_queries as wq
+
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(9), rnd.choice([None, *range(12)]), rnd.choice([None, 0.0, 1.0, 2.5]), rnd.choice([None, 0, 1])) for _ in range(120)]
+    walkers = [(k, "node2vec" if k % 2 else "metapath", rnd.choice([None, *range(9)]), 3, 0 if k % 2 == 0 else None, 2.0, 0.5) for k in range(30)]
+    tables = {
+        "edges": (edges, "src long, dst long, weight double, etype int"),
+        "walkers": (walkers, "walker long, app string, start_vertex long, steps long, scheme_id int, param_p double, param_q double"),
+        "schemes": ([(0, pos, t, t != pos) for pos in range(2) for t in range(2)], "scheme_id int, pos int, etype int, allowed boolean"),
+    }
+    db = duckdb.connect()
+    for table, (rows, columns) in tables.items():
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{table}.parquet")
+        db.execute(f"CREATE VIEW {table} AS FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    jobs = []
+    job = engine.Supersteps.dynamic_job
+    monkeypatch.setattr(engine.Supersteps, "dynamic_job", lambda self, state: jobs.append(1) or job(self, state))
+    got = rows_of(wq.QUERIES[name](spark, str(tmp_path)).select("wid", "step", "v"))
+    assert jobs and got == sorted(db.execute(wq.ORACLES[name]).fetchall())
+    assert max(step for _, step, _ in got) == 3
+
+
 def test_epochs_do_not_change_walks(spark, tmp_path):
     g = ring(spark)
     seen = []

@@ -312,11 +312,17 @@ N2V = {
 
 
 @query(walk_sql(HEAVY, walkers_sql("node2vec", ", param_p AS p, param_q AS q"), LEN, "weight", payload="weight, etype", **N2V))
-def node2vec_walk(spark: SparkSession, d: str) -> DataFrame:
+def node2vec_walk(spark: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
     """Second order, with each walker's own p and q."""
     state, spec = apps.node2vec("len", "p", "q")
     rows = own_walkers(spark, d, "node2vec", F.col("param_p").alias("p"), F.col("param_q").alias("q"))
-    return engine.random_walk(heavy(spark, d), WalkerConfig(table=rows, **state), spec)
+    return engine.random_walk(heavy(spark, d), WalkerConfig(table=rows, **state), spec, WalkConfig(strategy=strategy))
+
+
+@query(ORACLES["node2vec_walk"])
+def node2vec_edges_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    """All walkers over all edges by rejection supersteps, the path of larger graphs."""
+    return node2vec_walk(spark, d, "supersteps")
 
 
 @query(walk_sql(LOADED, walkers_sql("node2vec", ", param_p AS p, param_q AS q"), LEN, payload="weight, etype", **N2V))
@@ -336,10 +342,16 @@ masks AS (SELECT src, bit_or(CAST(1 AS BIGINT) << etype) AS types FROM ({edges})
 
 
 @query(metapath_oracle(HEAVY, "weight"))
-def metapath_walk(spark: SparkSession, d: str) -> DataFrame:
+def metapath_walk(spark: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
     g, state, spec = apps.metapath(heavy(spark, d), apps.Schemes.of(table(spark, d, "schemes")), "len", True, "scheme_id")
     rows = own_walkers(spark, d, "metapath", "scheme_id")
-    return engine.random_walk(g, WalkerConfig(table=rows, **state), spec)
+    return engine.random_walk(g, WalkerConfig(table=rows, **state), spec, WalkConfig(strategy=strategy))
+
+
+@query(ORACLES["metapath_walk"])
+def metapath_edges_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    """All walkers over all edges by rejection supersteps."""
+    return metapath_walk(spark, d, "supersteps")
 
 
 @query(metapath_oracle(LOADED, None))
