@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from wanderframe.llm import cooccur, dedup_format, frequent, packing
@@ -37,6 +38,20 @@ def test_pairs(spark, heavy, least, monkeypatch):
     assert len(got) == len({(r.item_a, r.item_b) for r in got})
 
 
+@pytest.mark.parametrize("held", [1, 7, 10_000])
+def test_gram_is_the_product_of_the_block(held, monkeypatch):
+    monkeypatch.setattr(cooccur, "HELD", held)
+    x = np.random.default_rng(held).random((40, 15)) < 0.3
+    x[3], x[4] = False, True
+    basket, item = np.nonzero(x)
+    names = np.arange(15) * 10**17 - 5
+    got = np.zeros((15, 15), int)
+    for a, b, n in cooccur.gram(basket, names[item]):
+        np.add.at(got, (np.searchsorted(names, a), np.searchsorted(names, b)), n)
+    assert (got == np.triu(x.T.astype(int) @ x, 1)).all()
+    assert not list(cooccur.gram(basket[:0], item[:0]))
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "walker long, vertex long")
     assert cooccur.common_baskets(df, "walker", "vertex").count() == 0

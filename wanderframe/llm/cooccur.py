@@ -2,9 +2,9 @@
 
 Baskets become rows of a binary matrix X (records x items) and the counts of
 common baskets are its Gram matrix X'X, summed over blocks of records: each
-task holds a block of whole baskets in sparse form, forms the block's product
-in NumPy and gives out one combined count for each pair it met, so no pair is
-sent once for each basket.  Two exact bounds shrink X beforehand: a pair that
+task holds blocks of whole baskets in sparse form, forms each block's sparse
+product in NumPy and gives out one combined count for each pair it met, so no
+pair is sent once for each basket.  Two exact bounds shrink X beforehand: a pair that
 reaches `least` common baskets and `lift` times chance has items of at least
 `least` baskets and of at most N / lift each, since n(a,b) <= min(n(a), n(b)).
 The second drops the hot items, whose columns would fill the product.
@@ -41,8 +41,32 @@ HELD = 2_000_000
 ITEM_BLOCK = 2_000
 
 
+def gram(basket: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, n) with a < b: X'X above its diagonal for one block of records, whose cells are ordered by basket and item.
+
+    X is held sparse, as a row of its block's items for each basket.  X'X is the sum of the rows' outer products;
+    its cells are numbered by their place in the block's items x items matrix and added up by number, so the
+    matrix itself is never filled.  It comes in parts of about HELD products, each added up on its own.
+    """
+    names, column = np.unique(item, return_inverse=True)
+    ends = np.searchsorted(basket, basket, "right")
+    behind = ends - np.arange(len(basket)) - 1
+    upto = np.cumsum(behind)
+    lo = 0
+    while lo < len(basket):
+        done = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + HELD, "right")))
+        n = behind[lo:hi]
+        row = np.repeat(np.arange(lo, hi), n)
+        other = row + 1 + np.arange(len(row)) - np.repeat(upto[lo:hi] - n - done, n)
+        cell, times = np.unique(column[row] * len(names) + column[other], return_counts=True)
+        if len(cell):
+            yield names[cell // len(names)], names[cell % len(names)], times
+        lo = hi
+
+
 def block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums X'X over a task's baskets; rows arrive ordered by basket and item."""
+    """Sums X'X over a task's blocks of records; rows arrive ordered by basket and item."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -57,20 +81,15 @@ def block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def product(basket: np.ndarray, item: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
-        step = 1
-        while step < len(basket):
-            met = np.flatnonzero(basket[step:] == basket[:-step])
-            if not len(met):
-                break
-            held.append((item[met], item[met + step], np.ones(len(met), np.int64)))
-            size += len(met)
+        for part in gram(basket, item):
+            held.append(part)
+            size += len(part[0])
             if size > HELD:
                 held = [combined()]
                 size = len(held[0][0])
                 if size > HELD // 2:
                     yield batch(*held[0])
                     held, size = [], 0
-            step += 1
 
     def batch(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
