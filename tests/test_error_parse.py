@@ -128,3 +128,17 @@ def test_cases_in_spark(spark):
     good = sorted((r.line_id, r.src, r.dst, r.weight) for r in got if not r.reason and r.line_id != 16)
     assert good == [(1, 1, 2, 3.5), (6, 7, 8, 10.0), (8, 1, 2, None), (8, 1, 2, None)]
     assert e.parse_lines(lines.limit(0), files).count() == 0
+
+
+def test_delimiter_edits_are_least_without_quotes():
+    """What the parse leaves out for layouts without quotes, by breadth-first search over inserted and deleted separators."""
+    layout = e.Layout(1, ",", ("src", "dst", "weight"), 3, None, 100)
+    for line in ("1", "1,2", "1,2,3", "1,,2,3", ",", '"1,2",3', "1,2,3,4,5", ' "1 ,2'):
+        seen, least = {line}, 0
+        while not any(len(x.split(",")) == 3 for x in seen):
+            seen = {x[:k] + "," + x[k:] for x in seen for k in range(len(x) + 1)} | {x[:k] + x[k + 1 :] for x in seen for k in range(len(x)) if x[k] == ","}
+            least += 1
+        edits, fields = e.parse_block(layout, [line.encode()])
+        assert edits[0] == 0 and fields[0] == [f.strip().encode() for f in line.split(",")]
+        reason, quote_edits, delimiter_edits, *_ = e.read_line(layout, 0, fields[0])
+        assert (quote_edits, delimiter_edits) == (0, least) and (reason == "column_count") == (least > 0)
