@@ -95,6 +95,38 @@ def test_in_spark(spark):
     got = sorted(tuple(r) for r in s.split_sentences(df, kind=F.col("kind")).collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 3, 7), (4, 8, 12)]
     assert s.split_sentences(df.limit(0)).count() == 0
+    lists = spark.createDataFrame([(1, LISTS)], "doc_id long, text string")
+    assert sorted(r.list_level for r in s.split_sentences(lists, levels=True).collect()) == [0, 0, 1, 1, 1, 1, 2, 2, 2, 3]
+
+
+@pytest.mark.parametrize("unit", ["路径很长。真的吗！好“对。”", "กราฟว่างอยู่", "a.b", '"a."b', "am 1. ", "1. ", "- x\n", '"!', "(", "\n"])
+def test_linear_without_blanks(unit):
+    """400,000 characters of any script in one piece take as long as with blanks in them."""
+    import time
+
+    text = unit * (400_000 // len(unit))
+    began = time.process_time()
+    spans = s.sentences(text)
+    assert time.process_time() - began < 2
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    if unit[0] == "路":
+        assert len(spans) == 2 * (len(text) // len(unit)) + 1
+
+
+LISTS = "- Top one. Two.\n  - Inner “one. two” here.\n    go on.\n\n    Below inner.\n  - 1. Third.\n\n Behind.\n\nOut.\n# Head\n- Last"
+
+
+def test_list_levels():
+    got = [(LISTS[a:b], n) for a, b, n in s.leveled_sentences(LISTS)]
+    assert got == [
+        ("Top one.", 1), ("Two.", 1), ("Inner “one. two” here.", 2), ("go on.", 2), ("Below inner.", 2), ("Third.", 3), ("Behind.", 1), ("Out.", 0), ("Head", 0), ("Last", 1),
+    ]
+
+
+def test_a_list_level_is_not_closed_by_marks():
+    """Closing marks above an open list level close nothing, and what opened in an item does not reach the next."""
+    text = "- A (b.\n- c ) d. Ef\n  - ) F g. “G."
+    assert [text[a:b] for a, b in s.sentences(text)] == ["A (b.", "c ) d.", "Ef", ") F g.", "“G."]
 
 
 def test_very_long_text():

@@ -59,7 +59,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents"), kind=F.col("kind"), language=F.col("prog_lang"), path=F.col("path"))
+    return sentences.split_sentences(table(spark, d, "documents"), kind=F.col("kind"), language=F.col("prog_lang"), path=F.col("path"), levels=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,12 +1,14 @@
 """Sentence units across languages and scripts.
 
-A pushdown automaton reads each text once.  Lines give the outer level: blank
-lines, headings and list items open and close blocks.  Inside a block the
-stack holds open quotations and brackets with the place where they opened;
-terminators of all scripts end a sentence only at an empty stack, or where
-the outermost quotation closes and the sentence does not go on behind it.  A
-full stop first passes the abbreviation trie, which is walked backwards from
-the stop.  The result is offsets, so no text is copied.
+A pushdown automaton reads each text once.  Its stack begins with the open
+list levels, by indent: marks push and pop them, and blank lines, headings and
+list items bound the blocks in between.  Above them it holds open quotations
+and brackets with the place where they opened; terminators of all scripts end
+a sentence only where none is open, or where the outermost quotation closes
+and the sentence does not go on behind it.  A full stop first passes the
+abbreviation trie, which is walked backwards from the stop.  Words that are
+looked up ahead are searched once each, so the time is linear in the text,
+with or without blanks in it.  The result is offsets, so no text is copied.
 
 Results by case: a null, empty or white-space text has no sentences; a cut
 text ends its last sentence where it ends; a quotation or bracket that never
@@ -53,6 +55,8 @@ ORDINAL = set("der die das den dem des am im vom zum zur beim ab bis seit ein ei
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
 LIST_OR_HEADING = re.compile(r"(?:[^\S\n\r]|\ufeff)*(?:(#{1,6})(?=\s|$)|([-*](?=\s)|\d{1,9}[.)](?=\s)))")
 WHITE = "﻿​"
+#: Kind of a frame that holds a list level.
+LIST = "list"
 
 
 @lru_cache(maxsize=1)
@@ -60,6 +64,10 @@ def abbreviations() -> frozenset[str]:
     return frozenset(BOUND + LOOSE)
 
 
+#: No word in front of an inner stop of an abbreviation is longer.
+LONGEST = max(map(len, BOUND + LOOSE))
+
+
 @lru_cache(maxsize=1)
 def trie() -> dict:
     """Abbreviations backwards; the key "" holds the kind: 1 bound, 2 loose."""
@@ -107,97 +115,153 @@ def word_before(text: str, lo: int, at: int) -> str:
     return text[k:at]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that no sentence crosses: paragraphs, headings and list items, without their marks."""
+class Ahead:
+    """Where the run of characters of one kind that holds a place ends.
+
+    Places are asked for from left to right and a run is searched once, so a word of any length costs its length
+    in all, however many terminators stand in it.
+    """
+
+    def __init__(self, text: str, pattern: re.Pattern) -> None:
+        self.text, self.pattern, self.begin, self.end = text, pattern, 0, 0
+
+    def __call__(self, at: int, hi: int) -> int:
+        if not self.begin <= at < self.end:
+            self.begin, self.end = at, self.pattern.match(self.text, at).end()
+        return min(self.end, hi)
+
+
+WORD = re.compile(rf"[^\s{WHITE}]*")
+LETTERS = re.compile(r"(?:[^\W\d_]|[-'’])*")
+#: Marks that may stand behind the letters of a word.
+BEHIND = re.compile(r"[.,;:!?…)\]}\"'”’»]*")
+OPENING = re.compile(f"[{re.escape(''.join(OPENERS))}]*")
+
+
+class Reader:
+    """A text with what the automaton looks up ahead of its place."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.word_end, self.letters_end, self.marks_end, self.openers_end = (Ahead(text, x) for x in (WORD, LETTERS, BEHIND, OPENING))
+
+    def skip(self, at: int, hi: int) -> int:
+        while at < hi and white(self.text[at]):
+            at += 1
+        return at
+
+    def word(self, at: int, hi: int) -> str:
+        """The word that begins at `at`; only for words behind white space, each of which is cut out once."""
+        return self.text[at : self.word_end(at, hi)]
+
+    def begins_sentence(self, at: int, hi: int) -> bool:
+        """Whether the word at `at` looks like a first word: a capital, an identifier, an opening mark, or nothing."""
+        end = self.word_end(at, hi)
+        core = self.openers_end(at, end)
+        if core >= end or not self.text[core].islower():
+            return True
+        behind = self.letters_end(core, end)
+        return self.marks_end(behind, end) < end if behind < end else False
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, list[int]]]:
+    """Stretches that no sentence crosses, without their marks: paragraphs, headings, list items.
+
+    Each comes with the open list levels, as the indents of their items.  A mark closes the levels that are
+    indented as far or farther and opens its own, several marks on a line open one level each; a paragraph
+    closes the levels whose items it is not indented behind, a line that goes on in a paragraph closes none.
+    """
     begin = None
     at = 0
     last = 0
+    levels: list[int] = []
     for line in text.splitlines(keepends=True):
         end = at + len(line)
         blank = not line.strip() or not line.strip().strip(WHITE)
         m = None if blank else LIST_OR_HEADING.match(text, at, end)
         if blank or m:
             if begin is not None:
-                yield begin, last
+                yield begin, last, levels.copy()
             begin = None
         if m and m.group(1):
-            yield m.end(), end
+            levels.clear()
+            yield m.end(), end, []
         elif m:
+            close(levels, m.start(2) - at)
+            levels.append(m.start(2) - at)
+            while inner := LIST_OR_HEADING.match(text, m.end(), end):
+                if inner.group(1):
+                    break
+                m = inner
+                close(levels, m.start(2) - at)
+                levels.append(m.start(2) - at)
             begin, last = m.end(), end
         elif not blank:
-            begin, last = at if begin is None else begin, end
+            if begin is None:
+                begin = at
+                indent = len(line) - len(line.lstrip())
+                close(levels, indent)
+            last = end
         at = end
     if begin is not None:
-        yield begin, last
-
+        yield begin, last, levels.copy()
 
-def next_word(text: str, at: int, hi: int) -> tuple[int, str]:
-    while at < hi and white(text[at]):
-        at += 1
-    k = at
-    while k < hi and not white(text[k]):
-        k += 1
-    return at, text[at:k]
 
+def close(levels: list[int], indent: int) -> None:
+    while levels and levels[-1] >= indent:
+        levels.pop()
 
-def begins_sentence(word: str) -> bool:
-    """Whether the word looks like a first word: a capital, an identifier, an opening mark, or nothing."""
-    if not word:
-        return True
-    core = word.lstrip("".join(OPENERS))
-    if not core:
-        return True
-    if core[0].islower():
-        inner = core.rstrip(".,;:!?…)]}\"'”’»")
-        return not inner.replace("-", "").replace("'", "").replace("’", "").isalpha()
-    return True
 
-
-def stop_ends(text: str, lo: int, run: int, after: int, hi: int) -> bool:
+def stop_ends(r: Reader, lo: int, run: int, after: int, hi: int) -> bool:
     """Whether the terminators text[run:after] end a sentence, at an empty stack."""
+    text = r.text
     marks = text[run:after]
-    at, word = next_word(text, after, hi)
-    if not word:
+    at = r.skip(after, hi)
+    if at >= hi:
         return True
     if any(c in FULL for c in marks):
         return True
     glued = at == after
-    if marks in (";", ";"):
+    if marks in (";", ";"):
         return not glued
     if marks.strip(".") == "…" * marks.count("…") and len(marks.replace("…", "...")) >= 2:
         if glued:
             return False
-        return word[0].isupper() or (word.lstrip("".join(OPENERS))[:1].isupper())
+        core = r.openers_end(at, hi)
+        return text[at].isupper() or (core < r.word_end(at, hi) and text[core].isupper())
     if glued:
-        return bool(CJK.match(word)) and marks[-1] in "!?"
+        return bool(CJK.match(text[at])) and marks[-1] in "!?"
     if marks != ".":
         return True
     kind = abbreviation(text, lo, run)
     if kind == 1:
         return False
     if kind == 2:
-        return begins_sentence(word) and not word[0].isdigit()
-    before = word_before(text, lo, run)
+        return r.begins_sentence(at, hi) and not text[at].isdigit()
+    before, word = word_before(text, lo, run), r.word(at, hi)
     bare = before.lstrip("".join(OPENERS))
-    if f"{bare}.{word.rstrip('.,;:)').lower()}".lower() in abbreviations():
+    if len(bare) <= LONGEST and f"{bare}.{word.rstrip('.,;:)').lower()}".lower() in abbreviations():
         return False
     if len(bare) == 1 and bare.isalpha() and bare.isupper():
         return not word[0].isupper() or CJK.match(word) is not None
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", bare) and word[0].islower():
         return False
     if bare.isdigit() and len(bare) <= 4:
-        head = word_before(text, lo, len(text[lo:run].rstrip()[: -len(bare)].rstrip()) + lo) if len(bare) < run - lo else ""
-        if head.lower() in ORDINAL or word.rstrip(".,").lower() in MONTHS:
+        head = run - len(bare)
+        while head > lo and white(text[head - 1]):
+            head -= 1
+        if word_before(text, lo, head).lower() in ORDINAL or word.rstrip(".,").lower() in MONTHS:
             return False
     return True
 
 
-def goes_on(text: str, frame: tuple[int, str], first: int, after: int, hi: int, lo: int) -> bool:
+def goes_on(r: Reader, frame: tuple[int, str], first: int, after: int, hi: int) -> bool:
     """Whether a sentence continues behind the quotation or bracket that closed before `after`."""
-    at, word = next_word(text, after, hi)
-    if not word:
+    text = r.text
+    at = r.skip(after, hi)
+    if at >= hi:
         return False
-    ch = word[0]
+    ch = text[at]
     if ch in ",;:，、；：—–-؛،·)]}）」』”»…":
         return True
     begin, opener = frame
@@ -210,19 +274,23 @@ def goes_on(text: str, frame: tuple[int, str], first: int, after: int, hi: int,
     if told and opener in QUOTES:
         return ch == "と" and at == after
     if ch.islower() or ch.isupper():
-        return not begins_sentence(word)
+        return not r.begins_sentence(at, hi)
     if not ch.isalpha():
         return False
     return True
 
 
-def block_sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+def block_sentences(r: Reader, lo: int, hi: int, levels: list[int]) -> Iterator[tuple[int, int]]:
+    """The automaton over one block.  Its stack holds the open list levels, then open quotations and brackets.
+
+    Only what opened in the block can close in it, so `floor`, the number of list levels, is the empty stack of a sentence.
+    """
+    text = r.text
     while hi > lo and white(text[hi - 1]):
         hi -= 1
-    first = lo
-    while first < hi and white(text[first]):
-        first += 1
-    stack: list[tuple[int, str]] = []
+    first = r.skip(lo, hi)
+    stack: list[tuple[int, str]] = [(indent, LIST) for indent in levels]
+    floor = len(stack)
     stopped = False  # the last thing seen inside the stack was a terminator
     at = first
     for_next = scanner().search
@@ -233,22 +301,24 @@ def block_sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         if stopped and any(not white(c) for c in text[at:k]):
             stopped = False
         at = k + 1
+        inside = len(stack) > floor
         if ch.isspace():
             at = m.end()
-            if not stack:
+            if not inside:
                 yield first, k
                 first = at
                 stopped = False
-        elif stack and ch == OPENERS[stack[-1][1]]:
+        elif inside and ch == OPENERS[stack[-1][1]]:
             frame = stack.pop()
-            if not stack and stopped:
+            inside = len(stack) > floor
+            if not inside and stopped:
                 while at < hi and text[at] in ".!?" + FULL:
                     at += 1
-                if not goes_on(text, frame, first, at, hi, lo):
+                if not goes_on(r, frame, first, at, hi):
                     yield first, at
-                    first = next_word(text, at, hi)[0]
+                    first = r.skip(at, hi)
                     at, stopped = first, False
-            elif not stack:
+            elif not inside:
                 stopped = False
         elif ch in OPENERS:
             want = OPENERS[ch]
@@ -261,33 +331,37 @@ def block_sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                 stack.append((k, ch))
                 stopped = False
         elif ch in CLOSERS:
-            stopped = stopped and bool(stack)
+            stopped = stopped and inside
         else:
-            if ch in ";;" and not (k > lo and GREEK.match(text[k - 1])):
+            if ch in ";;" and not (k > lo and GREEK.match(text[k - 1])):
                 continue
             while at < hi and text[at] in FULL + ".!?…":
                 at += 1
-            if stack:
+            if inside:
                 stopped = ch in FULL or ch in "!?…" or not text[at : at + 1].isalnum()
-            elif stop_ends(text, first, k, at, hi):
+            elif stop_ends(r, first, k, at, hi):
                 while at < hi and text[at] in CLOSERS and text[at] not in OPENERS:
                     at += 1
                 yield first, at
-                first = next_word(text, at, hi)[0]
+                first = r.skip(at, hi)
                 at = first
     if first < hi:
         yield first, hi
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    out = []
-    for lo, hi in blocks(text):
-        for a, b in block_sentences(text, lo, hi):
+def leveled_sentences(text: str) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, number of list levels) of every sentence."""
+    r = Reader(text)
+    for lo, hi, levels in blocks(text):
+        for a, b in block_sentences(r, lo, hi, levels):
             while b > a and white(text[b - 1]):
                 b -= 1
             if b > a:
-                out.append((a, b))
-    return out
+                yield a, b, len(levels)
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in leveled_sentences(text)]
 
 
 SLASH = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
@@ -322,11 +396,11 @@ EXTENSIONS = {
 }
 #: Lines by which a text tells its family.
 SIGNS = {
-    "python": r"^\s*(?:(?:async )?def \w+\(|(?:class \w.*|elif .*|else|try|finally|except\b.*|with .*|(?:for|while|if) .*):[^\S\n]*(?:#.*)?$|from [\w.]+ import |import [\w.]+(?: as \w+)?[^\S\n]*$)|^#!.*python",
-    "shell": r"^#!.*sh\b|^\s*(?:fi|done|esac)\b|^\s*(?:export|local) \w+=|;\s*(?:do|then)[^\S\n]*$|^\s*(?:set -|echo )|^\s*(?:- )?[\w.-]+:(?:[^\S\n]+[^\s{].*[^\s;,{(]|[^\S\n]+[^\s;,{(]|[^\S\n]*)$",
-    "sql": r"^\s*(?:(?i:select\b|create (?:or replace )?(?:table|view|index)\b|insert into\b|delete from\b|alter table\b|drop table\b|group by\b|(?:left |right |inner |cross )?join\b|order by\b)|(?:FROM|WHERE|UPDATE)\b)",
-    "html": r"^\s*</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|^\s*<(?:!DOCTYPE|\?xml)\b",
-    "cpp": r"^\s*#\s*(?:include|define|undef|ifn?def|endif|pragma)\b|(?:;|\}\)|[\w)>][^\S\n]*\{)[^\S\n]*(?://.*|/\*.*)?$|^\s*(?:package \w+|import \"|func |fn |pub |use [\w:]+|#!?\[)|=>|:=|\bstd::",
+    "python": r"^[^\S\n]*(?:(?:async )?def \w+\(|(?:class \w.*|elif .*|else|try|finally|except\b.*|with .*|(?:for|while|if) .*):[^\S\n]*(?:#.*)?$|from [\w.]+ import |import [\w.]+(?: as \w+)?[^\S\n]*$)|^#!.*python",
+    "shell": r"^#!.*sh\b|^[^\S\n]*(?:fi|done|esac)\b|^[^\S\n]*(?:export|local) \w+=|;\s*(?:do|then)[^\S\n]*$|^[^\S\n]*(?:set -|echo )|^[^\S\n]*(?:- )?[\w.-]+:(?:[^\S\n]+[^\s{].*[^\s;,{(]|[^\S\n]+[^\s;,{(]|[^\S\n]*)$",
+    "sql": r"^[^\S\n]*(?:(?i:select\b|create (?:or replace )?(?:table|view|index)\b|insert into\b|delete from\b|alter table\b|drop table\b|group by\b|(?:left |right |inner |cross )?join\b|order by\b)|(?:FROM|WHERE|UPDATE)\b)",
+    "html": r"^[^\S\n]*</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|^[^\S\n]*<(?:!DOCTYPE|\?xml)\b",
+    "cpp": r"^[^\S\n]*#\s*(?:include|define|undef|ifn?def|endif|pragma)\b|(?:;|\}\)|[\w)>][^\S\n]*\{)[^\S\n]*(?://.*|/\*.*)?$|^[^\S\n]*(?:package \w+|import \"|func |fn |pub |use [\w:]+|#!?\[)|=>|:=|\bstd::",
 }
 
 
@@ -388,8 +462,8 @@ def blank_line(n: int) -> str:
     return "\n" + " " * (n - 2) + "\n" if n > 1 else "\n" * n
 
 
-def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind: Column | None = None, language: Column | None = None, path: Column | None = None) -> DataFrame:
-    """(key, sent_start, sent_end) of every sentence; texts of kind `code` give those of their comments."""
+def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind: Column | None = None, language: Column | None = None, path: Column | None = None, levels: bool = False) -> DataFrame:
+    """(key, sent_start, sent_end) of every sentence, with levels=True also list_level; texts of kind `code` give those of their comments."""
     kind = F.lit("prose") if kind is None else kind
     language, path = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (language, path))
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), kind.alias("kind"), F.lower(language).alias("language"), path.alias("path"))
@@ -398,11 +472,12 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", kind
         for b in batches:
             owner, spans = [], []
             for i, (t, k, lang, name) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
-                found = sentences(comments_only(t, lang, name) if k == "code" else t)
+                found = list(leveled_sentences(comments_only(t, lang, name) if k == "code" else t))
                 owner += [i] * len(found)
                 spans += found
-            at = np.array(spans, np.int64).reshape(-1, 2)
+            at = np.array(spans, np.int64).reshape(-1, 3)
             keys = b.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(at[:, 0]), pa.array(at[:, 1])], [key, "sent_start", "sent_end"])
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(at[:, c]) for c in range(len(names)))], [key, *names])
 
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, sent_start long, sent_end long")
+    names = ["sent_start", "sent_end", *["list_level"] * levels]
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
