@@ -54,6 +54,40 @@ def test_word_starts_follow_the_pattern(texts):
     assert got == {b + m.start() for b, t in zip(begins.tolist(), texts, strict=True) for m in PATTERN.finditer(t)}
 
 
+LETTERS = {"random": "abcdefghijklmnopqrstuvwxyz", "frequent": "etaoin", "chinese": "".join(map(chr, range(0x4E00, 0x4F00))), "thai": "".join(map(chr, range(0xE01, 0xE2E))), "one": "x", "marks": "=-*/#"}
+
+
+@pytest.mark.parametrize("kind", LETTERS)
+def test_a_word_of_100_000_letters(enc, library, kind):
+    import time
+
+    word = "".join(random.Random(1).choices(LETTERS[kind], k=100_000))
+    began = time.process_time()
+    got = ours(enc, [word, "and " + word[:5000] + " more"])
+    assert time.process_time() - began < 10
+    assert got == [e.ids for e in library.encode_batch([word, "and " + word[:5000] + " more"], add_special_tokens=False)]
+
+
+def test_barriers_are_where_no_entry_reaches(enc):
+    rnd = random.Random(2)
+    entries = set(enc.entries)
+    longest = max(map(len, entries))
+    for _ in range(30):
+        word = bytes(rnd.choices(b"etaoqzx=\xe4\xb8", k=60))
+        text = word.decode("latin-1")
+        spanned = {k for a in range(60) for b in range(a + 2, min(60, a + longest) + 1) if text[a:b] in entries for k in range(a + 1, b)}
+        assert enc.barriers(word).tolist() == [k for k in range(1, 60) if k not in spanned]
+
+
+def test_pieces_of_long_words(enc, library, monkeypatch):
+    """With all words cut at their barriers the ids stay the same."""
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices(ALPHABET + "thequick=", k=rnd.randint(0, 80))) for _ in range(500)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert ours(enc, texts) == want
+
+
 def test_every_vocabulary_entry_contracts_to_itself(enc):
     import json
 

@@ -4,9 +4,18 @@ The stage is map-only: each task pre-tokenises its Arrow batches with NumPy,
 reduces them to distinct words, and hands the words it has not met before to
 an in-process DuckDB, where one recursive query contracts them.  The query
 holds one row per (word, token position), joins neighbouring tokens with the
-merge table, keeps each word's minimum-rank pairs from the left and repeats
-until no word has a pair left.  An ordered aggregation turns the surviving
-rows into id lists.
+merge table, contracts each word's minimum-rank pairs from the left and
+repeats with the words that changed until none does.  It is keyed by (word,
+position), so a pass replaces the rows it changes and its memory is the words'
+length, not length times passes; a token that was merged into its left
+neighbour stays as -1.  An ordered aggregation turns the rest into id lists.
+
+A word may be as long as its text, as in scripts without blanks.  Every token
+of a contraction, final or not, is a vocabulary entry that stands in the text
+at its place, so a boundary that no entry found in the word spans is never
+crossed.  Long words are cut at these boundaries, which an Aho-Corasick
+automaton over the vocabulary finds in one pass, and the pieces are contracted
+and remembered like words of their own.
 
 Results by case: a null or empty text gives an empty list; a white-space text
 is encoded like any other; a text of any length is encoded whole; strings that
@@ -19,7 +28,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +44,31 @@ CACHE_WORDS = 400_000
 #: Token-position rows given to one recursive query.
 QUERY_ROWS = 400_000
 
+#: Words above this many bytes are cut where no vocabulary entry can reach across.
+LONG = 256
+
 CONTRACT = """
-WITH RECURSIVE pass(i, w, p, t) AS (
-    SELECT 0, w, p, t FROM seed
+WITH RECURSIVE pass(w, p, t) USING KEY (w, p) AS (
+    SELECT w, p, t FROM seed
     UNION ALL (
     WITH here AS (
-        SELECT i, w, p, t,
+        SELECT w, p, t,
                lead(t) OVER (PARTITION BY w ORDER BY p) AS after,
+               lead(p) OVER (PARTITION BY w ORDER BY p) AS q,
                row_number() OVER (PARTITION BY w ORDER BY p) AS k
-        FROM pass),
+        FROM recurring.pass SEMI JOIN (SELECT DISTINCT w FROM pass) USING (w)
+        WHERE t >= 0),
     pair AS (
-        SELECT here.w, here.k, m.rank, m.made
-        FROM here JOIN merges m ON here.t = m.a AND here.after = m.b),
-    best AS (SELECT w, min(rank) AS rank FROM pair GROUP BY w),
-    hit AS (
-        SELECT w, k, made, k - row_number() OVER (PARTITION BY w ORDER BY k) AS run
-        FROM pair SEMI JOIN best USING (w, rank)),
-    chosen AS (
-        SELECT w, k, made FROM hit
-        QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY k) % 2 = 1)
-    SELECT here.i + 1, here.w, here.p, coalesce(c.made, here.t)
-    FROM here SEMI JOIN best ON here.w = best.w
-    LEFT JOIN chosen c ON here.w = c.w AND here.k = c.k
-    ANTI JOIN chosen gone ON here.w = gone.w AND here.k = gone.k + 1)
-),
-last AS (SELECT w, max(i) AS i FROM pass GROUP BY w)
-SELECT w, list(t ORDER BY p) AS ids FROM pass SEMI JOIN last USING (w, i) GROUP BY w ORDER BY w
+        SELECT here.w, here.p, here.q, here.k, m.rank, m.made
+        FROM here JOIN merges m ON here.t = m.a AND here.after = m.b
+        QUALIFY m.rank = min(m.rank) OVER (PARTITION BY here.w)),
+    hit AS (SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY k) AS run FROM pair),
+    chosen AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY k) % 2 = 1)
+    SELECT w, p, made FROM chosen
+    UNION ALL
+    SELECT w, q, -1 FROM chosen)
+)
+SELECT w, list(t ORDER BY p) AS ids FROM pass WHERE t >= 0 GROUP BY w ORDER BY w
 """
 
 
@@ -148,12 +156,33 @@ class Encoder:
                 "made": pa.array([vocab[x + y] for x, y in pairs], pa.int32()),
             }
         )
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": self.memory})
+        as_bytes = {ord(c): chr(b) for c, b in letters.items()}
+        self.entries = [(x + y).translate(as_bytes) for x, y in pairs]
+        # a chunk fits in memory by its size; without a folder for spills nothing is written beside the worker
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": self.memory, "temp_directory": ""})
         self.db.register("arrow_merges", table)
         self.db.execute("CREATE TABLE merges AS FROM arrow_merges")
         self.db.unregister("arrow_merges")
         self.forget()
 
+    @cached_property
+    def automaton(self):  # noqa: ANN202
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for e in self.entries:
+            out.add_word(e, len(e))
+        out.make_automaton()
+        return out
+
+    def barriers(self, word: bytes) -> np.ndarray:
+        """Places inside the word that no vocabulary entry in it spans."""
+        open_at = np.zeros(len(word) + 1, np.int64)
+        found = np.array([(last - n + 2, last + 1) for last, n in self.automaton.iter(word.decode("latin-1"))], np.int64).reshape(-1, 2)
+        np.add.at(open_at, found[:, 0], 1)
+        np.add.at(open_at, found[:, 1], -1)
+        return np.flatnonzero(np.cumsum(open_at)[1 : len(word)] == 0) + 1
+
     def forget(self) -> None:
         self.known.clear()
         self.ids: list[np.ndarray] = [np.zeros(0, np.int32)]
@@ -230,6 +259,10 @@ def encode_chunk(enc: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     begins = np.searchsorted(heads, byte_at[:-1])
     start = word_starts(points, begins)
     cuts = heads[start]
+    lengths = np.diff(np.append(cuts, total))
+    if (lengths > LONG).any():
+        more = [at + enc.barriers(raw[at : at + n].tobytes()) for at, n in zip(cuts[lengths > LONG], lengths[lengths > LONG], strict=True)]
+        cuts = np.sort(np.concatenate([cuts, *more]))
     offsets = np.append(cuts, total).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), data]).dictionary_encode()
     ids, at, n = enc.encode(words.dictionary.to_pylist())
