@@ -97,7 +97,7 @@ def test_format_duplicates(spark):
 
 
 def test_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(dedup_format, "LEAST_BITS", 1 << 20)
+    monkeypatch.setattr(dedup_format, "RUN", 700)
     rows = [(k, "src=a1 dst=b2" if k % 3 == 0 else f"src=x{k // 4} dst=y") for k in range(3000)]
     df = spark.createDataFrame(rows, "rec_id long, record string")
     groups = defaultdict(list)
@@ -107,17 +107,57 @@ def test_hot_group(spark, monkeypatch):
     assert {tuple(r) for r in dedup_format.copies(df).collect()} == want
 
 
-def test_filter_has_no_false_negatives(spark):
+@pytest.mark.parametrize(("parts", "segments"), [(1, 1), (7, 1), (7, 3)])
+def test_filter_has_no_false_negatives(spark, parts, segments):
+    """One task sends bits, seven send hashes; both forms merge to a filter that holds what is there twice."""
     rnd = random.Random(1)
-    values = [rnd.randrange(-(2**63), 2**63) for _ in range(20_000)]
-    values += values[:3000]
-    df = spark.createDataFrame([(v,) for v in values], "h long").repartition(7)
-    bits = 1 << 20
-    field = dedup_format.repeats_filter(df, "h", bits)
-    import numpy as np
-
-    hit = dedup_format.may_hold(field, np.array(values), bits)
-    assert hit[:3000].all() and hit[20_000:].all() and hit[3000:20_000].mean() < 0.2
+    values = [rnd.randrange(-(2**63), 2**63) for _ in range(60_000)]
+    values += values[:9000]
+    df = spark.createDataFrame([(v,) for v in values], "h long").repartition(parts)
+    field = np.zeros(segments * dedup_format.SEGMENT // 8, np.uint8)
+    for r in dedup_format.repeats_filter(df, "h", segments).collect():
+        at = r.segment * dedup_format.SEGMENT // 8
+        field[at : at + dedup_format.SEGMENT // 8] = np.frombuffer(r.again, np.uint8)
+    h = np.array(values)
+    hit = dedup_format.may_hold(field, h, dedup_format.place(h, segments) * dedup_format.SEGMENT)
+    assert hit[:9000].all() and hit[60_000:].all() and hit[9000:60_000].mean() < 0.2
+
+
+def test_shards(spark, monkeypatch):
+    """Filters of several shards, with records written by shard, find the same copies."""
+    monkeypatch.setattr(dedup_format, "SHARD", 1)
+    df = spark.range(0, 240_000, 1, 4).selectExpr("id AS rec_id", "CASE WHEN id % 3 = 0 THEN 'SRC: a1; dst=b2' WHEN id % 10 = 1 THEN concat('dst ', id - 1, ' src') ELSE concat('dst=', id) END AS record")
+    copies = dedup_format.copies(df)
+    got = copies.selectExpr("count(*) AS n", "count(DISTINCT copy_id) AS d", "count_if(keep_id = 0) AS hot", "count_if(keep_id <> 0 AND copy_id - keep_id <> 1) AS odd").first()
+    rest = [k for k in range(240_000) if k % 3 and k % 10 == 1 and (k - 1) % 3]
+    assert tuple(got) == (79_999 + len(rest), 79_999 + len(rest), 79_999, 0)
+    assert dedup_format.collapse(df).selectExpr("count(*)", "sum(n_copies)").first()[:] == (240_000 - 79_999 - len(rest), 240_000)
+
+
+FORMATS = [
+    ("[Weight] 4.5. [SRC] AB'12 [dst] cd::34", "dst=cd34|src=ab12|weight=4\ue0005"),
+    ("src src a src b src", "src=a|src=b"),
+    ("src b src a1 src a dst", "src=a|src=a1|src=b"),
+    ("dst=.5 src=1.2.3. weight=5.", "dst=5|src=1\ue0002\ue0003|weight=5"),
+    ("weightsrc 3.x", "?weightsrc3x"),
+    ("src=٣.٥ dst=ΣΑΣ", "dst=σασ|src=٣\ue000٥"),
+    ("src - dst -", "?srcdst"),
+    ("", "?"),
+    (".", "?"),
+    ("\ue000src \ue0001", "src=1"),
+    ("é" * 100_000 + " dst \U0001d7d8.1", "dst=\U0001d7d8\ue0001"),
+]
+
+
+def test_canonical_forms(monkeypatch):
+    import pyarrow as pa
+
+    records = pa.array([r for r, _ in FORMATS])
+    for chunk in (1, 100, 1 << 22):
+        monkeypatch.setattr(dedup_format, "CHUNK", chunk)
+        assert dedup_format.canonical(records).to_pylist() == [c for _, c in FORMATS]
+    assert dedup_format.canonical(records.slice(3, 2)).to_pylist() == [c for _, c in FORMATS[3:5]]
+    assert len(dedup_format.canonical(records.slice(0, 0))) == 0
 
 
 def test_fullest_is_the_best_sum():
