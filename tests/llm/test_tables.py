@@ -27,29 +27,82 @@ def brute_pairs(rows, least, lift):
 
 
 @pytest.mark.parametrize(("heavy", "least"), [(1000, 3), (6, 3), (3, 2)])
-def test_pairs(spark, heavy, least, monkeypatch):
+def test_pairs(spark, heavy, least):
     rnd = random.Random(heavy)
     rows = [(rnd.randrange(60), rnd.choice([rnd.randrange(4), rnd.randrange(30)])) for _ in range(500)]
     rows += [(b, 100 + k) for b in range(60, 66) for k in range(12)] + rows[:50] + [(None, 3), (5, None), (99, None)]
-    monkeypatch.setattr(cooccur, "HELD", 50)
     df = spark.createDataFrame([(b, i, 1) for b, i in rows], "walker long, vertex long, n int")
-    got = cooccur.common_baskets(df, "walker", "vertex", least, 2.0, heavy).collect()
+    got = cooccur.common_baskets(df, "walker", "vertex", least, 2.0, heavy, block=40, held=50, tile=7).collect()
     assert {(r.item_a, r.item_b, r.n_ab) for r in got} == brute_pairs(rows, least, 2.0)
     assert len(got) == len({(r.item_a, r.item_b) for r in got})
 
 
 @pytest.mark.parametrize("held", [1, 7, 10_000])
-def test_gram_is_the_product_of_the_block(held, monkeypatch):
-    monkeypatch.setattr(cooccur, "HELD", held)
+def test_gram_is_the_product_of_the_block(held):
     x = np.random.default_rng(held).random((40, 15)) < 0.3
     x[3], x[4] = False, True
     basket, item = np.nonzero(x)
     names = np.arange(15) * 10**17 - 5
     got = np.zeros((15, 15), int)
-    for a, b, n in cooccur.gram(basket, names[item]):
+    for a, b, n in cooccur.transpose_products(basket, names[item], held):
         np.add.at(got, (np.searchsorted(names, a), np.searchsorted(names, b)), n)
     assert (got == np.triu(x.T.astype(int) @ x, 1)).all()
-    assert not list(cooccur.gram(basket[:0], item[:0]))
+    assert not list(cooccur.transpose_products(basket[:0], item[:0]))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_distinct_cells(size):
+    import pyarrow as pa
+
+    rnd = random.Random(size)
+    rows = sorted(((rnd.randrange(20), rnd.choice([None, *range(6)])) for _ in range(200)), key=lambda r: (r[0], r[1] is not None, r[1] or 0)) + [(30, None), (30, None), (31, 5)]
+    cut = [rows[k : k + size] for k in range(0, len(rows), size)]
+    got = [r for b in cooccur.distinct_cells(pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())], ["b", "i"]) for own in cut) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert sorted((b, i) for b, i, *_ in got if i is not None) == sorted({r for r in rows if r[1] is not None})
+    assert sum(fresh for *_, fresh in got) == len({b for b, _ in rows})
+    for b in {b for b, _ in rows}:
+        assert [nth for x, i, nth, _ in got if x == b and i is not None] == list(range(len({i for x, i in rows if x == b and i is not None})))
+
+
+def test_baskets_of_5000_items(spark):
+    """Twelve baskets hold 5,000 items each, and all their pairs come out."""
+    rows = spark.range(12 * 5000).selectExpr("id DIV 5000 AS walker", "id % 5000 + id DIV 15000 AS vertex").union(spark.range(1000, 1400).selectExpr("id", "id % 2"))
+    names = {b: set(range(b // 3, b // 3 + 5000)) for b in range(12)}
+    got = cooccur.common_baskets(rows, "walker", "vertex", 10, 20.0, heavy=2000)
+    n = got.selectExpr("count(*) AS pairs", "sum(n_ab) AS common").first()
+    held = Counter(i for own in names.values() for i in own)
+    often = sorted(i for i, k in held.items() if k + (i < 2) * 200 <= 412 / 20 and k >= 10)
+    inside = np.array([[i in own for i in often] for own in names.values()], np.int32)
+    product = np.triu(inside.T @ inside, 1)
+    assert (n.pairs, n.common) == (int((product >= 10).sum()), int(product[product >= 10].sum())) and n.pairs > 12_000_000
+
+
+@pytest.mark.parametrize("baskets", [20, 2000])
+def test_tiles_take_fixed_memory(baskets):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tile, names = 100, np.arange(100)
+
+    def batch(kind, basket, item, side):
+        n = len(item)
+        own = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, kind), np.full(n, basket), item, np.full(n, side), item, np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in own], list("pqabcdefg"))
+
+    def stream():
+        for side in (0, 1):
+            yield batch(0, 0, names, side)
+        for k in range(baskets):
+            for side in (0, 1):
+                yield batch(1, k, names[k % 2 :: 2], side)
+
+    tracemalloc.start()
+    found = list(cooccur.tile_products(10, tile)(stream()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * tile * tile * 4
+    assert {n for b in found for n in b.column(2).to_pylist()} == {baskets // 2} and sum(b.num_rows for b in found) == 2 * 50 * 49 // 2
 
 
 def test_pairs_of_nothing(spark):
