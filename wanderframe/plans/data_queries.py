@@ -31,7 +31,8 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d).where("reason IS NOT NULL AND reason <> 'layout'").select("line_id", "reason")
+    """Lines of a file without a layout don't load either; their reason is `layout`."""
+    return _parsed(spark, d).where("reason IS NOT NULL").select("line_id", "reason")
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,7 @@ LINES = r"""
 WITH l AS (
   SELECT line_id, file_id, n_columns, column_names, v_num, separator AS sep, quote_char AS q,
          regexp_replace(line, '\r$', '') AS line
-  FROM edge_lines JOIN edge_files USING (file_id)
+  FROM edge_lines LEFT JOIN edge_files USING (file_id)
   WHERE NOT regexp_full_match(regexp_replace(line, '\r$', ''), '[ \t]*(#(.|\n)*)?')),
 m AS (
   SELECT *, CASE sep WHEN '|' THEN '\|' ELSE sep END AS s,
@@ -69,7 +70,7 @@ o AS (
   SELECT *, len(v) = n_columns AS fits, v[list_position(names, 'src')] AS s1, v[list_position(names, 'dst')] AS s2,
          v[list_position(names, 'weight')] AS s3, v[list_position(names, 'etype')] AS s4 FROM c),
 r AS (
-  SELECT *, CASE WHEN broken THEN 'quoting' WHEN NOT fits THEN 'column_count'
+  SELECT *, CASE WHEN n_columns IS NULL THEN 'layout' WHEN broken THEN 'quoting' WHEN NOT fits THEN 'column_count'
     WHEN NOT coalesce(regexp_full_match(s1, '[0-9]+') AND try_cast(s1 AS HUGEINT) < v_num, false) THEN 'src'
     WHEN NOT coalesce(regexp_full_match(s2, '[0-9]+') AND try_cast(s2 AS HUGEINT) < v_num, false) THEN 'dst'
     WHEN list_contains(names, 'weight') AND NOT coalesce(regexp_full_match(s3, '\+?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') AND isfinite(try_cast(s3 AS DOUBLE)), false) THEN 'data'
