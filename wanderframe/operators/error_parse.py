@@ -121,6 +121,8 @@ class Grammar:
         at = self.states
         self.edges = [self.table([(at[s], at[to], cost, op) for s, own, to, cost, op in moves if own == c]) for c in range(10)]
         self.inserts = self.table([(at[s], at[to], cost, op) for s, to, cost, op in inserts])
+        self.arrays = [self.as_arrays(e) for e in self.edges]
+        self.insert_arrays = self.as_arrays(self.inserts)
         self.into = [self.by_target(e) for e in self.edges]
         self.put_into = self.by_target(self.inserts)
         self.named = list(self.states)
@@ -130,6 +132,13 @@ class Grammar:
     def table(edges: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
         return sorted(edges, key=lambda e: e[1])
 
+    @staticmethod
+    def as_arrays(edges: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, cost, first edge of each target, the targets)"""
+        s, to, cost = (np.array([e[k] for e in edges], np.int64) for k in range(3))
+        first = np.flatnonzero(np.diff(to, prepend=-1))
+        return s, cost, first, to[first]
+
     @staticmethod
     def by_target(edges: list[tuple[int, int, int, str]]) -> dict[int, list[tuple[int, int, str]]]:
         out: dict[int, list[tuple[int, int, str]]] = {}
@@ -206,19 +215,20 @@ class Parse:
     valid: list[bool]
 
 
-def relaxed(best: np.ndarray, edges: list[tuple[int, int, int, str]]) -> np.ndarray:
+def relaxed(best: np.ndarray, edges: tuple[np.ndarray, ...]) -> np.ndarray:
     """Least cost of each state over the edges into it; FAR for states without any."""
-    out = np.full_like(best, FAR)
-    if edges:
-        s, to, cost = (np.array([e[k] for e in edges]) for k in range(3))
-        first = np.flatnonzero(np.diff(to, prepend=-1))
-        out[:, to[first]] = np.minimum(FAR, np.minimum.reduceat(best[:, s] + cost, first, axis=1))
+    s, cost, first, to = edges
+    out = np.full(best.shape, FAR)
+    if len(s):
+        out[:, to] = np.minimum(FAR, np.minimum.reduceat(best[:, s] + cost, first, axis=1))
     return out
 
 
 def with_inserts(best: np.ndarray, g: Grammar) -> np.ndarray:
+    if not len(g.insert_arrays[0]):
+        return best
     while True:
-        more = np.minimum(best, relaxed(best, g.inserts))
+        more = np.minimum(best, relaxed(best, g.insert_arrays))
         if (more == best).all():
             return best
         best = more
@@ -255,34 +265,36 @@ class Parser:
         return mode != QUOTED
 
     def parse(self, patterns: list[bytes]) -> None:
-        """Adds patterns that are not known yet."""
+        """Adds patterns that are not known yet.  They advance together, in order of length, so those still on their way are the last."""
         g = self.grammar
         order = sorted(patterns, key=len)
         k = 0
         while k < len(order):
-            width = len(order[k])
             stop = k + 1
-            while stop < len(order) and len(order[stop]) == width and (stop - k) * (width + 1) * len(g.named) < CELLS:
+            while stop < len(order) and (stop + 1 - k) * (len(order[stop]) + 1) * len(g.named) < CELLS:
                 stop += 1
             own = order[k:stop]
             k = stop
-            codes = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), width)
+            size = np.array([len(p) for p in own])
+            begin = np.cumsum(size) - size
+            codes = np.frombuffer(b"".join(own), np.uint8)
             best = np.full((len(own), len(g.named)), FAR, np.int64)
             best[:, 0] = 0
-            steps = []
-            for j in range(width):
+            done, steps = 0, []  # steps[j] holds the costs of the patterns from `done` on, before and behind inserts
+            for j in range(int(size[-1]) + 1):
                 full = with_inserts(best, g)
-                steps.append((best.astype(np.int32), full.astype(np.int32)))
-                best = np.full_like(best, FAR)
-                for c in np.unique(codes[:, j]):
-                    rows = codes[:, j] == c
-                    best[rows] = relaxed(full[rows], g.edges[c])
-            full = with_inserts(best, g)
-            steps.append((best.astype(np.int32), full.astype(np.int32)))
-            last = (full + g.ending).argmin(axis=1)
-            for i, p in enumerate(own):
-                self.known[p] = len(self.parses)
-                self.parses.append(self.followed(p, [(a[i].tolist(), b[i].tolist()) for a, b in steps], int(last[i])))
+                steps.append((done, best.astype(np.int32), full.astype(np.int32)))
+                ended = int(np.searchsorted(size[done:], j, "right"))
+                for i in range(ended):
+                    costs = [(a[done + i - d].tolist(), b[done + i - d].tolist()) for d, a, b in steps]
+                    self.known[own[done + i]] = len(self.parses)
+                    self.parses.append(self.followed(own[done + i], costs, int((full[i] + g.ending).argmin())))
+                done += ended
+                live = codes[begin[done:] + j]
+                best = np.empty((len(own) - done, len(g.named)), np.int64)
+                for c in np.unique(live):
+                    rows = np.flatnonzero(live == c)
+                    best[rows] = relaxed(full[ended + rows], g.arrays[c])
 
     def followed(self, pattern: bytes, costs: list[tuple[list[int], list[int]]], state: int) -> Parse:
         """Back from the end of the cheapest parse."""
@@ -372,10 +384,9 @@ class Parser:
         out |= {"edits": np.full(n, None, object), "src": np.zeros(n, np.int64), "dst": np.zeros(n, np.int64), "weight": np.zeros(n), "etype": np.zeros(n, np.int64)}
         place = np.append(kept, len(data))
         begins = ends - sizes
-        for i in np.flatnonzero([bool(p.edits) for p in parses])[:, None]:
-            for r in np.flatnonzero(index == i):
-                spots = [(op, int(min(place[starts[r] + j], ends[r]) - begins[r])) for op, j in parses[i[0]].edits]
-                out["edits"][r] = "; ".join(f"{op} at {k}" for op, k in spots)
+        edited = np.array([bool(p.edits) for p in parses], bool)
+        for r in np.flatnonzero(edited[index]):
+            out["edits"][r] = "; ".join(f"{op} at {min(place[starts[r] + j], ends[r]) - begins[r]}" for op, j in parses[index[r]].edits)
         good = np.flatnonzero(reason == None)  # noqa: E711
         spans = np.array([p.spans or [(0, 0)] * self.layout.n_columns for p in parses], np.int64).reshape(len(parses), -1, 2)[index[good]]
         valid = np.array([p.valid or [False] * self.layout.n_columns for p in parses], bool).reshape(len(parses), -1)[index[good]]
