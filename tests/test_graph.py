@@ -109,7 +109,7 @@ def test_partition_plan(spark, parts):
 
 def test_running_sums(spark):
     rows = some_edges(8)
-    got = running_sums(frame(spark, rows).selectExpr("*", "CAST(weight AS BIGINT) AS w"), "src", ["dst", "weight"], "w", buckets=3).collect()
+    got = running_sums(frame(spark, rows).selectExpr("*", "CAST(weight AS BIGINT) AS w"), ["src"], ["dst", "weight"], "w", buckets=3).collect()
     by = defaultdict(list)
     for s, d, w, _ in rows:
         by[s].append((d, int(w)))
@@ -147,3 +147,58 @@ def test_random_graphs(spark, undirected):
         assert {r[:2] for r in rows} == {(b, a) for a, b, *_ in rows}
     with pytest.raises(ValueError):
         random_edges(spark, 5, 20)
+
+
+@pytest.mark.parametrize("weights", [[1e-7, 3e-7, 1e-6], [1e-300, 2e-300], [1e308, 1e308, 5e307], [5e-324, 5e-324], [1.0, 1e-20], [1e13, 2.5e13, 1.0], [3.0] * 8])
+def test_weights_of_any_magnitude_keep_their_shares(spark, weights):
+    from wanderframe.operators import analytics
+
+    rows = [(0, k, w, 0) for k, w in enumerate(weights)] + [(0, 90, None, 0), (0, 91, 0.0, 0), (0, 92, float("nan"), 0), (0, 93, float("inf"), 0)]
+    g = Graph(frame(spark, rows), 100)
+    got = {r.dst: (r.w, r.tot) for r in static.intervals(g, "weight").collect()}
+    assert set(got) == set(range(len(weights))) and all(w >= 1 for w, _ in got.values())
+    assert sum(w for w, _ in got.values()) == got[0][1] < 1 << 51
+    exact = {r.dst: r.prob for r in analytics.transition_matrix(g.edges).collect()}
+    biggest = max(weights)
+    for k, w in enumerate(weights):
+        share = (w / biggest) / sum(x / biggest for x in weights)
+        assert abs(got[k][0] / got[k][1] - share) < 1e-14
+        assert biggest < 1e-9 or biggest > 1e300 or abs(exact[k] - share) < 1e-14
+
+
+def test_scaled_weights_are_the_same_in_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(6), k, rnd.choice([rnd.random() * 10.0 ** rnd.randint(-9, 12), float(rnd.randint(1, 64)), 0.0, -1.0, None]), 0) for k in range(400)]
+    df = frame(spark, rows).repartition(3)
+    df.write.parquet(str(tmp_path / "e"))
+    want = Counter(duckdb.sql(f"SELECT src, dst, w FROM ({static.scaled_sql(f"SELECT * FROM '{tmp_path}/e/*.parquet'", 'weight')}) WHERE w > 0").fetchall())
+    assert Counter((r.src, r.dst, r.w) for r in static.intervals(Graph(df), "weight").collect()) == want
+
+
+def test_hub_with_close_neighbours_is_divided(spark):
+    """The ranges follow the rows, so a hub's neighbours are spread over them however close their ids lie."""
+    from wanderframe.operators.graph import bounds_of, part_of
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 10000000 + id ELSE id * 1000000000 END AS dst")
+    sizes = [r["count"] for r in df.groupBy(part_of(F.col("dst"), bounds_of(df, "dst", 64)).alias("b")).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 3000 / 64
+
+
+def test_alias_table_stands_for_the_weights(spark):
+    rnd = random.Random(9)
+    rows = [(s, d, rnd.choice([0.001, 1.0, 2.0, 1000.0]) * rnd.random(), 0) for s in range(4) for d in rnd.sample(range(200), 1 + s * 40)] + [(7, d, 1.0, 0) for d in range(5)]
+    table = static.alias_table(Graph(frame(spark, rows), 200), "weight").collect()
+    buckets, mass, total = Counter(), defaultdict(float), defaultdict(float)
+    for s, _, w, _ in rows:
+        total[s] += w
+    for r in table:
+        buckets[r.src] += 1
+        assert 0 <= r.p <= 1 + 1e-12
+        mass[r.src, r.first] += r.p
+        if r.second is not None:
+            mass[r.src, r.second] += 1 - r.p
+    assert buckets == Counter(s for s, *_ in rows)
+    assert all(abs(mass[s, d] / buckets[s] - w / total[s]) < 1e-12 for s, d, w, _ in rows)

@@ -44,6 +44,19 @@ def test_generator_forms_agree(spark):
     assert (got.x == t.x).all() and (got.y == t.y).all()
 
 
+def test_large_walker_ids_differ(spark):
+    """Ids beyond 2^31 - 1 are folded with their high part, alike in all forms."""
+    import duckdb
+
+    ids = [w + k * rng.P for w in (0, 1, 77) for k in (0, 1, 2, 2**20, 2**31)] + [2**63 - 1, -1, -rng.P]
+    h = rng.np_walker_hash(np.array(ids))
+    assert len(set(h[:15].tolist())) == 15 and ((h >= 0) & (h < rng.P)).all()
+    df = rng.with_walker_hash(spark.createDataFrame([(i,) for i in ids], "wid long"))
+    assert {r.wid: r.h for r in df.collect()} == dict(zip(ids, h.tolist(), strict=True))
+    rows = ", ".join(f"({i})" for i in ids)
+    assert dict(duckdb.sql(f"SELECT wid, h FROM ({rng.sql_walker_hash(f'SELECT * FROM (VALUES {rows}) t(wid)')})").fetchall()) == dict(zip(ids, h.tolist(), strict=True))
+
+
 def test_generator_is_even():
     h = rng.np_walker_hash(np.arange(20_000))
     draws = np.stack([rng.np_draw(h, np.full(20_000, s), 10) for s in range(20)])

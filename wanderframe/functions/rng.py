@@ -21,7 +21,10 @@ PER_ATTEMPT = 4
 
 
 def fold(x: Column) -> Column:
-    return (F.pmod(x, F.lit(P)) * 48271 + 1013904223) % P
+    """A walker's id below P; what is above comes in as well, so ids that differ by P differ here."""
+    low = F.pmod(x, F.lit(P))
+    high = F.pmod(F.call_function("div", x - low, F.lit(P)), F.lit(P))
+    return (low * 48271 + high * 40014 + 1013904223) % P
 
 
 def by_step(h: Column, step: Column) -> Column:
@@ -59,7 +62,8 @@ def np_fifth(x: np.ndarray) -> np.ndarray:
 
 
 def np_walker_hash(wid: np.ndarray) -> np.ndarray:
-    return np_fifth((wid.astype(np.int64) % P * 48271 + 1013904223) % P)
+    wid = wid.astype(np.int64)
+    return np_fifth((wid % P * 48271 + wid // P % P * 40014 + 1013904223) % P)
 
 
 def np_draw(h: np.ndarray, step: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
@@ -77,7 +81,9 @@ def sql_fifth(inner: str, names: list[str], drop: str) -> str:
 
 def sql_walker_hash(inner: str, wid: str = "wid", drop: str = "EXCLUDE") -> str:
     """Adds h to a SELECT that has the walker's id.  drop is the dialect's word for `all columns but`."""
-    return sql_fifth(f"SELECT *, (CAST({wid} AS BIGINT) % {P} * 48271 + 1013904223) % {P} AS h FROM ({inner})", ["h"], drop)
+    low = f"((CAST({wid} AS BIGINT) % {P} + {P}) % {P})"
+    high = f"(((CAST({wid} AS BIGINT) - {low}) // {P} % {P} + {P}) % {P})"
+    return sql_fifth(f"SELECT *, ({low} * 48271 + {high} * 40014 + 1013904223) % {P} AS h FROM ({inner})", ["h"], drop)
 
 
 def sql_draws(inner: str, draws: dict[str, str], step: str = "step", drop: str = "EXCLUDE") -> str:

@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanderframe.operators.graph import Graph
-from wanderframe.plans.static import SCALE
+from wanderframe.operators.keyed import sum_of, sum_parts
 from wanderframe.session import cut
 
+PARTS = ("_places", "_beyond", "_large")
 
-def mass(weight: str | None) -> Column:
-    """Weights as the walks take them: integers, whose sums are exact in any order."""
-    return F.lit(1).cast("long") if weight is None else F.round(F.col(weight) * SCALE).cast("long")
+
+def weighed(edges: DataFrame, weight: str | None) -> DataFrame:
+    """The edges that can be drawn, with their weight as _w."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return edges.withColumn("_w", w).where((F.col("_w") > 0) & (F.col("_w") < F.lit(float("inf"))))
+
+
+def shares(rows: DataFrame, keys: list[str], dst: str = "dst") -> DataFrame:
+    """(keys…, dst, w, prob) of rows with _w: parallel edges add up; sums of partial sums, so their order doesn't matter."""
+    n = rows.groupBy(*keys, dst).agg(*[x.alias(c) for c, x in sum_parts(F.col("_w")).items()])
+    total = n.groupBy(*keys).agg(*[F.sum(c).alias(f"t{c}") for c in PARTS])
+    both = n.join(total, keys).withColumns({"w": sum_of(*map(F.col, PARTS)), "t": sum_of(*[F.col(f"t{c}") for c in PARTS])})
+    return both.select(*keys, dst, "w", (F.col("w") / F.col("t")).alias("prob"))
 
 
 def transition_matrix(edges: DataFrame, weight: str | None = "weight") -> DataFrame:
     """(src, dst, prob): weight over the weight of src; parallel edges add up."""
-    w = mass(weight)
-    n = edges.where(w > 0).groupBy("src", "dst").agg(F.sum(w).alias("w"))
-    total = n.groupBy("src").agg(F.sum("w").alias("tot"))
-    return n.join(total, "src").select("src", "dst", (F.col("w") / F.col("tot")).alias("prob"))
+    return shares(weighed(edges, weight), ["src"]).drop("w")
 
 
 def node2vec_matrix(edges: DataFrame, p: float, q: float, weight: str | None = "weight") -> DataFrame:
     """(prev, cur, dst, prob): the second-order matrix, one row for each pair of consecutive edges."""
-    w = mass(weight)
-    n = edges.where(w > 0).groupBy("src", "dst").agg(F.sum(w).alias("w"))
+    n = shares(weighed(edges, weight), ["src"]).drop("prob")
     first = n.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
     second = n.select(F.col("src").alias("cur"), "dst", "w")
     known = n.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("linked"))
@@ -43,25 +50,32 @@ def reachable_states(edges: DataFrame, seeds: DataFrame, condition: str, followi
     condition and following may name v, dst, the edge's columns and the state's columns.
     """
     names = seeds.columns
-    found = cut(seeds.distinct())
-    fresh = found
+    deltas = [cut(seeds.distinct())]
     for _ in range(most):
-        moves = fresh.join(edges, fresh.v == edges.src).where(condition)
+        moves = deltas[-1].join(edges, deltas[-1].v == edges.src).where(condition)
         steps = moves.select(F.col("dst").alias("v"), *[F.expr(following.get(c, c)).alias(c) for c in names if c != "v"]).distinct()
-        fresh = cut(steps.join(found, names, "left_anti"))
+        # each round writes what is new; what was found before is read, not written again
+        fresh = cut(steps.join(union_of(deltas), names, "left_anti"))
         if fresh.isEmpty():
-            return found
-        found = cut(found.unionByName(fresh))
+            return union_of(deltas)
+        deltas.append(fresh)
     raise RuntimeError("no fixpoint")
 
 
-def typed_matrix(states: DataFrame, edges: DataFrame, condition: str, weight: str | None) -> DataFrame:
-    """(v, state…, dst, prob) over the edges that a walker in each state may take."""
-    w = mass(weight)
-    keys = states.columns
-    rows = states.join(edges, states.v == edges.src).where(condition).where(w > 0).groupBy(*keys, "dst").agg(F.sum(w).alias("w"))
-    total = rows.groupBy(*keys).agg(F.sum("w").alias("t"))
-    return rows.join(total, keys).select(*keys, "dst", (F.col("w") / F.col("t")).alias("prob"))
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """A balanced union, so that the plan's depth is the logarithm of the number of parts."""
+    while len(parts) > 1:
+        parts = [parts[k].unionByName(parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def typed_matrix(states: DataFrame, edges: DataFrame, condition: str, weight: str | None, dynamic: str = "1.0D") -> DataFrame:
+    """(v, state…, dst, prob) over the edges that a walker in each state may take, in proportion to weight * dynamic.
+
+    condition and dynamic may name v, dst, the edge's columns and the state's columns.
+    """
+    rows = weighed(edges, weight).join(states, F.col("src") == F.col("v")).where(condition).withColumn("_w", F.col("_w") * F.expr(dynamic))
+    return shares(rows.where("_w > 0"), states.columns).drop("w")
 
 
 def hops(walks: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wanderframe.session import kept
+
 
 class GraphError(ValueError):
     """The edges contradict what the graph declares."""
@@ -27,24 +29,43 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
-def running_sums(df: DataFrame, group: str, order: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """Adds hi (running sum of `value` within the group), tot and deg (sum and rows of the group).
+def bounds_of(df: DataFrame, column: str, parts: int) -> list:
+    """Values that cut the rows of df into about equal parts by the column; one pass with a mergeable sketch."""
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    found = df.agg(F.percentile_approx(column, shares, F.lit(20 * parts)).alias("b")).first().b
+    return sorted(set(found or []))
+
+
+def part_of(x: Column, bounds: list) -> Column:
+    """How many of the bounds are below x, as a binary search that the compiler unrolls."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(bounds))
 
-    The sums are taken in two levels.  Rows are first divided by ranges of the
-    first order column, so the window of one group with most of the rows works
-    on `buckets` parts at once; the parts' totals then give the offsets.
+
+def running_sums(df: DataFrame, group: list[str], order: list[str], value: str, buckets: int = 64, names: tuple[str, str, str] = ("hi", "tot", "deg"), part: str | None = None) -> DataFrame:
+    """Adds the running sum of `value` within the group, and the sum and the rows of the group.
+
+    The sums are taken in two levels.  Rows are first divided by ranges of the first order column that hold about
+    as many rows each, so the window of one group with most of the rows works on `buckets` parts at once however
+    its values lie; the parts' totals then give the offsets.  part names a column that divides the rows already.
     """
-    first = order[0]
-    span = df.agg((F.max(first) - F.min(first)).alias("d"), F.min(first).alias("m")).first()
-    width, low = max(1, ((span.d or 0) // buckets) + 1), span.m or 0
-    df = df.withColumn("_b", ((F.col(first) - low) / width).cast("long"))
-    parts = df.groupBy(group, "_b").agg(F.sum(value).alias("_n"), F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(group)
-    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("tot"), F.sum("_c").over(whole).alias("deg"))
-    own = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_run", F.sum(value).over(own)).join(parts, [group, "_b"])
-    return out.withColumn("hi", F.col("_before") + F.col("_run")).drop("_b", "_run", "_before")
+    hi, tot, deg = names
+    own_part = part or "_b"
+    if part is None:
+        df = df.withColumn("_b", part_of(F.col(order[0]), bounds_of(df, order[0], buckets)))
+    parts = df.groupBy(*group, own_part).agg(F.sum(value).alias("_n"), F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(own_part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*group, own_part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(tot), F.sum("_c").over(whole).alias(deg))
+    own = Window.partitionBy(*group, own_part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_run", F.sum(value).over(own)).join(parts, [*group, own_part])
+    return out.withColumn(hi, F.col("_before") + F.col("_run")).drop(own_part, "_run", "_before")
 
 
 @dataclass
@@ -57,10 +78,10 @@ class Graph:
     _kept: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, v_num: int, undirected: bool = False, fmt: str = "binary", weighted: bool = True) -> Graph:
+    def load(cls, spark: SparkSession, path: str, v_num: int, undirected: bool = False, fmt: str = "binary", weighted: bool = True, typed: bool = False) -> Graph:
         from wanderframe.sources import edges as io
 
-        df = io.read_edges(spark, path, fmt, weighted)
+        df = io.read_edges(spark, path, fmt, weighted, typed)
         return cls(symmetrise(df) if undirected else df, v_num).validated()
 
     @property
@@ -107,7 +128,7 @@ class Graph:
         A vertex with very many out-edges has many segments, so no list grows with the data.
         """
         one = self.edges.withColumn("_one", F.lit(1).cast("long"))
-        ranked = running_sums(one, "src", ["dst", *payload], "_one").withColumn("segment", F.floor((F.col("hi") - 1) / segment).cast("int"))
+        ranked = running_sums(one, ["src"], ["dst", *payload], "_one").withColumn("segment", F.floor((F.col("hi") - 1) / segment).cast("int"))
         entry = F.struct(F.col("hi"), F.struct("dst", *payload).alias("e"))
         lists = ranked.groupBy(F.col("src").alias("v"), "segment").agg(F.array_sort(F.collect_list(entry)).alias("l"))
         return lists.select("v", "segment", F.transform("l", lambda x: x["e"]).alias("neighbours"))
@@ -124,10 +145,16 @@ class Graph:
         w = Window.partitionBy("v").orderBy("tag").rowsBetween(Window.unboundedPreceding, 0)
         return n.withColumn("last", F.sum("n").over(w) - 1).select("v", "tag", (F.col("last") - F.col("n") + 1).alias("first"), "last")
 
-    def vertex_sum(self, value: Column, name: str = "total") -> DataFrame:
-        """Maps every vertex and adds up the results; `value` may name v, out_degree and in_degree."""
+    def map_vertices(self, **values: Column) -> DataFrame:
+        """(v, values…) of every vertex; they may name v, out_degree, in_degree and the attributes (null where a vertex has none)."""
         rows = self.out_degree().join(self.in_degree(), "v")
-        return rows.agg(F.sum(value).alias(name))
+        if self.attributes is not None:
+            rows = rows.join(self.attributes, "v", "left")
+        return rows.select("v", *[x.alias(name) for name, x in values.items()])
+
+    def vertex_sum(self, value: Column, name: str = "total") -> DataFrame:
+        """Maps every vertex, as map_vertices does, and adds up the results."""
+        return self.map_vertices(**{name: value}).agg(F.sum(name).alias(name))
 
     def has_edges(self, pairs: DataFrame) -> DataFrame:
         """Adds `linked` to pairs (src, dst)."""
@@ -141,20 +168,20 @@ class Graph:
     def partition_plan(self, parts: int, alpha: int = 5) -> DataFrame:
         """Contiguous vertex ranges with alpha + out-degree as workload: (part, first_v, end_v, workload).
 
-        A range is closed as soon as it reaches ceil(total / parts).  One window of prefix sums gives
-        every vertex its place; the `parts` cuts then follow one another on a bounded table.
+        A range is closed as soon as it reaches ceil(total / parts).  One window of prefix sums gives every vertex its
+        place, and the table of places is kept in their order.  The cuts follow one another; each is found between two
+        places, so its scan reads the row group that holds them.
         """
         load = self.out_degree().select("v", (F.col("out_degree") + alpha).alias("n"))
-        sums = running_sums(load.withColumn("_all", F.lit(0)), "_all", ["v"], "n", buckets=256).select("v", "hi", "tot").persist()
-        try:
-            total = sums.agg(F.max("tot")).first()[0] or 0
-            target = -(-total // parts)
-            at, begin, rows = 0, 0, []
-            for p in range(parts):
-                row = sums.where(F.col("hi") >= at + target).agg(F.min("v"), F.min("hi")).first()
-                end, done = (row[0] + 1, row[1]) if row[0] is not None and p < parts - 1 else (self.v_num, total)
-                rows.append((p, begin, end, done - at))
-                begin, at = end, done
-        finally:
-            sums.unpersist()
+        sums = running_sums(load.withColumn("_all", F.lit(0)), ["_all"], ["v"], "n", buckets=256).select("v", "n", "hi", "tot")
+        sums = kept(sums.repartitionByRange("hi").sortWithinPartitions("hi"))
+        whole = sums.agg(F.max("tot").alias("tot"), F.max("n").alias("most")).first()
+        total, most = whole.tot or 0, whole.most or 0
+        target = -(-total // parts)
+        at, begin, rows = 0, 0, []
+        for p in range(parts):
+            row = sums.where(F.col("hi").between(at + target, at + target + most)).agg(F.min("v"), F.min("hi")).first() if p < parts - 1 else (None, None)
+            end, done = (row[0] + 1, row[1]) if row[0] is not None else (self.v_num, total)
+            rows.append((p, begin, end, done - at))
+            begin, at = end, done
         return self.spark.createDataFrame(rows, "part int, first_v long, end_v long, workload long")

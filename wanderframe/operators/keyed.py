@@ -24,8 +24,8 @@ LARGE = 1e12
 SCALE = 2.0**70
 
 
-def whole_sum(weight: Column) -> Column:
-    """Sum of all finite weights.
+def sum_parts(weight: Column) -> dict[str, Column]:
+    """Partial sums of all finite weights, which may be added up again over groups.
 
     Weights below LARGE are summed in decimals of six places: the same for every order of rows and number of
     partitions.  What they have beyond six places, and larger weights, are summed as doubles, whose last bits may
@@ -35,8 +35,16 @@ def whole_sum(weight: Column) -> Column:
     small = F.when(size < F.lit(LARGE), weight)
     places = small.cast("decimal(20,6)")
     large = F.when((size >= F.lit(LARGE)) & (size < F.lit(float("inf"))), weight / F.lit(SCALE))
-    parts = F.sum(places).cast("double"), F.sum(small - places.cast("double")), F.sum(large) * F.lit(SCALE)
-    return sum((F.coalesce(x, F.lit(0.0)) for x in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+    return {"_places": F.sum(places), "_beyond": F.sum(small - places.cast("double")), "_large": F.sum(large)}
+
+
+def sum_of(places: Column, beyond: Column, large: Column) -> Column:
+    return sum((F.coalesce(x, F.lit(0.0)) for x in (beyond, large * F.lit(SCALE))), F.coalesce(places.cast("double"), F.lit(0.0)))
+
+
+def whole_sum(weight: Column) -> Column:
+    """Sum of all finite weights."""
+    return sum_of(*sum_parts(weight).values())
 
 
 def key_totals(df: DataFrame, key: str, weight: str, name: str = "vertex") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderframe.functions import rng
+from wanderframe.operators.analytics import union_of
 from wanderframe.operators.graph import Graph
 from wanderframe.plans import static as st
 from wanderframe.plans.spec import Transition, WalkConfig, WalkerConfig
@@ -198,7 +199,7 @@ class Supersteps:
             left = state.agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a")).first()
             self.most_tries = left.a or 0
             if not left.n:
-                return _union(visits)
+                return union_of(visits)
         raise RuntimeError(f"walkers are left after {self.config.max_steps} jobs")
 
     def sql(self, text: str, state: DataFrame) -> DataFrame:
@@ -287,13 +288,6 @@ def with_link(inner: str, prev: str) -> str:
     return f"SELECT w.*, p.prev IS NOT NULL AS linked FROM ({inner}) w LEFT JOIN {{pairs}} p ON w.{prev} = p.prev AND w.dst = p.dst"
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    """A balanced union, so that the plan's depth is the logarithm of the number of parts."""
-    while len(parts) > 1:
-        parts = [parts[k].unionByName(parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0]
-
-
 def send(spark: SparkSession, ready: Prepared, second_order: bool) -> object:
     """The graph as arrays, to all executors; its size has been checked."""
     key = f"arrays{second_order}"
@@ -484,4 +478,4 @@ def random_walk(graph: Graph, walkers: WalkerConfig, spec: Transition, config: W
             paths.write_paths(part, f"{config.output}/epoch={k}", config.with_head)
         if config.consumer:
             config.consumer(part, k)
-    return _union(parts)
+    return union_of(parts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wanderframe.functions import rng
-from wanderframe.plans.static import SCALE
+from wanderframe.plans.static import scaled_sql
 
 
 def walk_sql(
@@ -29,7 +29,7 @@ def walk_sql(
     extra joins more tables to the walkers (alias d) before the candidate is drawn.
     """
     init, update = init or {}, update or {}
-    weight = "CAST(1 AS BIGINT)" if static is None else f"CAST(round({static} * {SCALE}) AS BIGINT)"
+    weighed = f"SELECT *, CAST(1 AS BIGINT) AS w FROM ({edges})" if static is None else scaled_sql(edges, static)
     order = "dst" + "".join(f", {c} NULLS FIRST" for c in payload.split(",") if c.strip())
     begin = "".join(f", {x} AS {k}" for k, x in init.items())
     seed = rng.sql_draws(rng.sql_walker_hash(f"SELECT *, CAST(0 AS BIGINT) AS step FROM ({seeds})"), {"u_scheme": str(rng.SCHEME), "u_start": str(rng.START)})
@@ -42,7 +42,7 @@ def walk_sql(
     after = "".join(f", CASE WHEN took THEN {x} ELSE {k} END AS {k}" for k, x in update.items())
     return f"""
 WITH RECURSIVE {ctes}
-e AS (SELECT *, {weight} AS w FROM ({edges})),
+e AS ({weighed}),
 pairs AS (SELECT DISTINCT src AS p, dst AS x FROM e WHERE w > 0),
 cdf AS MATERIALIZED (
   SELECT * EXCLUDE (w), CAST(sum(w) OVER (PARTITION BY src ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,

@@ -185,13 +185,13 @@ def partition_plan(spark: SparkSession, d: str) -> DataFrame:
     return nations(spark, d).partition_plan(4)
 
 
-CDF = """WITH e AS (SELECT *, CAST(round(weight * 1000000) AS BIGINT) AS w FROM ({edges}))
+CDF = """WITH e AS ({edges})
 SELECT src, dst, CAST(sum(w) OVER (PARTITION BY src ORDER BY dst, weight, etype NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - w AS lo,
        CAST(sum(w) OVER (PARTITION BY src ORDER BY dst, weight, etype NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,
        CAST(sum(w) OVER (PARTITION BY src) AS BIGINT) AS tot FROM e"""
 
 
-@query(CDF.format(edges=HEAVY))
+@query(CDF.format(edges=static.scaled_sql(HEAVY, "weight")))
 def static_cdf(spark: SparkSession, d: str) -> DataFrame:
     return static.intervals(heavy(spark, d), "weight").select("src", "dst", "lo", "hi", "tot")
 
@@ -209,11 +209,38 @@ def alias_mass(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- matrices
 
 
-@query(f"WITH n AS (SELECT src, dst, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS prob FROM n")
+@query(f"WITH n AS (SELECT src, dst, sum(CAST(weight AS DECIMAL(20,6))) AS w FROM ({HEAVY}) GROUP BY 1, 2) SELECT src, dst, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY src) AS DOUBLE) AS prob FROM n")
 def static_transition(spark: SparkSession, d: str) -> DataFrame:
     return analytics.transition_matrix(heavy(spark, d).edges)
 
 
+EXTREMES = f"SELECT src, dst, weight * CASE src % 3 WHEN 0 THEN 1e-8 WHEN 1 THEN 1e13 ELSE 1e300 END AS weight FROM ({HEAVY})"
+
+
+def extremes(spark: SparkSession, d: str) -> Graph:
+    """The edges with weights that are tiny, huge, or beyond the range of doubles in sum, by vertex."""
+    factor = F.when(F.col("src") % 3 == 0, 1e-8).when(F.col("src") % 3 == 1, 1e13).otherwise(1e300)
+    return Graph(heavy(spark, d).edges.select("src", "dst", (F.col("weight") * factor).alias("weight")))
+
+
+#: To six places; the small addend keeps shares that lie between two places from going either way.
+PLACES = 3.1e-8
+OWN_SHARES = "SELECT src, dst, round(sum(weight / m) / any_value(t) + 3.1e-8, 6) AS prob FROM (SELECT *, sum(weight / m) OVER (PARTITION BY src) AS t FROM (SELECT *, max(weight) OVER (PARTITION BY src) AS m FROM ({edges}))) GROUP BY 1, 2"
+
+
+@query(OWN_SHARES.format(edges=EXTREMES))
+def extreme_transition(spark: SparkSession, d: str) -> DataFrame:
+    """The exact matrix of extreme weights; the oracle divides doubles."""
+    return analytics.transition_matrix(extremes(spark, d).edges).withColumn("prob", F.round(F.col("prob") + PLACES, 6))
+
+
+@query(OWN_SHARES.format(edges=EXTREMES))
+def extreme_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the walks draw by, for extreme weights."""
+    n = static.intervals(extremes(spark, d), "weight").groupBy("src", "dst").agg((F.sum("w") / F.max("tot")).alias("prob"))
+    return n.withColumn("prob", F.round(F.col("prob") + PLACES, 6))
+
+
 @query(f"""WITH n AS ({BUSY}), r AS (
   SELECT a.src AS prev, a.dst AS cur, b.dst, b.weight * CASE WHEN b.dst = a.src THEN 0.5 WHEN k.src IS NOT NULL THEN 1.0 ELSE 2.0 END AS m
   FROM n a JOIN n b ON b.src = a.dst LEFT JOIN n k ON k.src = a.src AND k.dst = b.dst)
@@ -248,9 +275,9 @@ def metapath_reachable(spark: SparkSession, d: str) -> DataFrame:
     return _typed_states(spark, d)[1].withColumnRenamed("step", "state")
 
 
-@query(REACH + """, m AS (SELECT r.v, r.scheme, r.state, e.dst, CAST(sum(CAST(round(e.weight * 1000000) AS BIGINT)) AS DOUBLE) AS w FROM r JOIN schemes s ON s.scheme_id = r.scheme AND s.pos = r.state AND s.allowed
+@query(REACH + """, m AS (SELECT r.v, r.scheme, r.state, e.dst, sum(CAST(e.weight AS DECIMAL(20,6))) AS w FROM r JOIN schemes s ON s.scheme_id = r.scheme AND s.pos = r.state AND s.allowed
   JOIN e ON e.src = r.v AND e.etype = s.etype GROUP BY 1, 2, 3, 4)
-SELECT v, scheme, state, dst, w / sum(w) OVER (PARTITION BY v, scheme, state) AS prob FROM m""")
+SELECT v, scheme, state, dst, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY v, scheme, state) AS DOUBLE) AS prob FROM m""")
 def metapath_transition(spark: SparkSession, d: str) -> DataFrame:
     edges, states, ok = _typed_states(spark, d)
     m = analytics.typed_matrix(states, edges, ok, "weight")
