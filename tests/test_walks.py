@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wanderframe.functions import rng
 from wanderframe.operators import analytics, apps, paths
 from wanderframe.operators.graph import Graph, symmetrise
 from wanderframe.plans import engine
-from wanderframe.plans.spec import Component, Transition, WalkConfig, WalkerConfig
+from wanderframe.plans.spec import Component, Query, Transition, WalkConfig, WalkerConfig
+from wanderframe.session import shared_dir
 
 
 def ring(spark, v=34, extra=44, seed=2):
@@ -48,7 +51,7 @@ def test_large_walker_ids_differ(spark):
     """Ids beyond 2^31 - 1 are folded with their high part, alike in all forms."""
     import duckdb
 
-    ids = [w + k * rng.P for w in (0, 1, 77) for k in (0, 1, 2, 2**20, 2**31)] + [2**63 - 1, -1, -rng.P]
+    ids = [w + k * rng.P for w in (0, 1, 77) for k in (0, 1, 2, 2**20, 2**30)] + [2**63 - 1, -1, -rng.P]
     h = rng.np_walker_hash(np.array(ids))
     assert len(set(h[:15].tolist())) == 15 and ((h >= 0) & (h < rng.P)).all()
     df = rng.with_walker_hash(spark.createDataFrame([(i,) for i in ids], "wid long"))
@@ -89,7 +92,7 @@ def test_only_walkers_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         run = engine.Supersteps(spark, g, engine.prepare(g, "weight", False), WalkerConfig(10), apps.deepwalk(8, True), WalkConfig())
-        df = run.static_plan(run.keep(run.start(None, None)))
+        df = run.static_plan(run.keep(run.start(None)))
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = [x.strip(" :+-") for x in plan.split("\n")]
         assert sum(x.startswith("SortMergeJoin") for x in lines) == engine.MOVES
@@ -147,6 +150,100 @@ def test_rejection_supersteps_over_tables(spark, tmp_path, monkeypatch, name):
     assert max(step for _, step, _ in got) == 3
 
 
+@pytest.mark.parametrize("name", ["bound", "outlier", "hash"])
+def test_second_order_forms_equal_the_first(spark, name):
+    """What the walker asks the last vertex for is what it carries along in the first-order form."""
+    g = ring(spark)
+    g = Graph(g.edges, 34, spark.range(34).selectExpr("id AS v", "id % 4 AS tag"))
+    form = lambda order: apps.hash_walk(4, order=order) if name == "hash" else apps.tag_walk(4, 0.5, 3.0 if name == "outlier" else None, order=order)
+    (state, first), (asked, second) = form(1), form(2)
+    one = rows_of(engine.random_walk(g, WalkerConfig(40, **state), first))
+    assert "last_tag" not in asked["init"]
+    assert strategies(g, WalkerConfig(40, **asked), second, ["tasks", "supersteps"]) == [one, one]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_answers_from_a_table(spark, keyed):
+    """Vertices that the table lacks answer with null; the walker may ask about its candidate."""
+    g = ring(spark)
+    rows = [(v, k, 1.0 + (v + k) % 3) for v in range(0, 34, 2) for k in range(5)] if keyed else [(v, float(v % 3)) for v in range(0, 34, 2)]
+    table = spark.createDataFrame(rows, "v long, key long, n double" if keyed else "v long, n double")
+    query = Query(Component("prev", lambda **k: k["prev"]), Component("step > 0", lambda **k: k["step"] > 0), table, Component("etype", lambda **k: k["etype"]) if keyed else None)
+    d = Component("1.0D + coalesce(re_n, 0.5D)", lambda **k: 1.0 + np.where(np.isnan(k["re_n"].astype(float)), 0.5, k["re_n"].astype(float)))
+    spec = Transition(apps.up_to(4), "weight", d, 4.0, 1.0, query=query)
+    a, b = strategies(g, WalkerConfig(60, **apps.previous()), spec, ["tasks", "supersteps"])
+    assert a == b and len(a) == 60 * 5
+
+
+@pytest.mark.parametrize(("p", "q"), [(0.05, 1.0), (0.25, 4.0)])
+def test_outliers_are_drawn_by_their_area(spark, p, q):
+    g = ring(spark)
+    state, spec = apps.node2vec(20, p, q)
+    assert spec.outlier_key is not None
+    walks = engine.random_walk(g, WalkerConfig(40_000, **state), spec).cache()
+    r = analytics.compare_matrices(analytics.node2vec_matrix(g.edges, p, q), analytics.empirical_second_order(walks), ["prev", "cur", "dst"]).first()
+    assert r.only_seen == 0 and r.only_exact < r.entries / 20 and r.sum_sq < 2.0
+    a, b = strategies(g, WalkerConfig(40, **apps.node2vec(3, p, q)[0]), apps.node2vec(3, p, q)[1], ["tasks", "supersteps"])
+    assert a == b
+
+
+def test_rare_returns_at_a_hub_of_100_000_edges(spark, monkeypatch):
+    """With p = 0.01 the way back weighs a hundred times another edge; no walker waits for it, none looks at the hub's list."""
+    leaves = spark.range(1, 100_001)
+    edges = leaves.selectExpr("0L AS src", "id AS dst", "1.0D AS weight").union(leaves.selectExpr("id AS src", "0L AS dst", "1.0D AS weight"))
+    state, spec = apps.node2vec(4, 0.01, 1.0)
+    jobs = []
+    job = engine.Supersteps.dynamic_job
+    monkeypatch.setattr(engine.Supersteps, "dynamic_job", lambda self, x: jobs.append(self.most_tries) or job(self, x))
+    got = rows_of(engine.random_walk(Graph(edges, 100_001), WalkerConfig(3000, starts=list(range(1, 501)), **state), spec, WalkConfig(strategy="supersteps")))
+    assert len(got) == 3000 * 5 and len(jobs) <= 7 and max(jobs) < 12
+    back = sum(a[2] == b[2] for a, b in zip(got[0::5], got[2::5], strict=True))
+    assert back < 3000 * 0.005  # 100 of 100,099
+    few = leaves.limit(20)
+    edges = few.selectExpr("0L AS src", "id AS dst", "1.0D AS weight").union(few.selectExpr("id AS src", "0L AS dst", "1.0D AS weight"))
+    got = rows_of(engine.random_walk(Graph(edges, 100_001), WalkerConfig(3000, starts=[1, 2, 3], **state), spec))
+    back = sum(a[2] == b[2] for a, b in zip(got[0::5], got[2::5], strict=True))
+    assert abs(back / 3000 - 100 / 119) < 0.03
+
+
+def test_walkers_of_a_table_go_in_epochs(spark):
+    g = ring(spark)
+    table = spark.range(50).selectExpr("id * 3 AS wid", "id % 34 AS start")
+    seen = []
+    got = rows_of(engine.random_walk(g, WalkerConfig(table=table), apps.deepwalk(3), WalkConfig(rate=0.3, consumer=lambda df, k: seen.append({r.wid for r in df.collect()}))))
+    assert got == rows_of(engine.random_walk(g, WalkerConfig(table=table), apps.deepwalk(3)))
+    assert len(seen) == 4 and set.union(*seen) == {3 * k for k in range(50)} and sum(map(len, seen)) == 50
+
+
+@pytest.mark.parametrize("strategy", ["tasks", "supersteps"])
+def test_epochs_run_and_are_freed_in_turn(spark, tmp_path, strategy, monkeypatch):
+    """The second epoch begins after the first was handed over; discarded rows leave no files, and caches are released."""
+    g, events = ring(spark), []
+    kind = engine.Tasks if strategy == "tasks" else engine.Supersteps
+    run = kind.run
+    monkeypatch.setattr(kind, "run", lambda self, epoch=None: events.append(("run", epoch)) or run(self, epoch))
+    config = WalkConfig(rate=0.5, strategy=strategy, output=str(tmp_path / "p"), consumer=lambda df, k: events.append(("took", k, df.count())), discard=True)
+    before, views = set(os.listdir(shared_dir(spark))), {v.name for v in spark.catalog.listTables()}
+    assert engine.random_walk(g, WalkerConfig(10), apps.deepwalk(4), config).count() == 0
+    assert events == [("run", (0, 5)), ("took", 0, 25), ("run", (5, 10)), ("took", 1, 25)]
+    assert not [x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("walk-")]
+    assert spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "p")).count() == 10
+    assert {v.name for v in spark.catalog.listTables()} <= views
+
+
+def test_what_is_sent_is_bounded_in_bytes(spark, monkeypatch):
+    """Attributed vertices count as edges do."""
+    g = ring(spark)
+    many = Graph(g.edges, 34, spark.range(34).selectExpr("id AS v", "id % 4 AS tag"))
+    state, spec = apps.tag_walk(2)
+    ready = engine.prepare(many, spec.static, True)
+    assert engine.choose(ready, WalkerConfig(3, **state), spec, WalkConfig()) == "tasks"
+    monkeypatch.setattr(engine, "MOST_SENT_BYTES", ready.sent_bytes(spec) - 1)
+    assert engine.choose(ready, WalkerConfig(3, **state), spec, WalkConfig()) == "supersteps"
+    with pytest.raises(ValueError, match="bytes"):
+        engine.choose(ready, WalkerConfig(3, **state), spec, WalkConfig(strategy="tasks"))
+
+
 def test_epochs_do_not_change_walks(spark, tmp_path):
     g = ring(spark)
     seen = []
@@ -177,6 +274,11 @@ def test_second_order_distribution(spark):
     assert r.only_seen == 0 and r.only_exact == 0 and r.sum_sq < 1.0
 
 
+def test_visits_and_paths_are_inverse(spark):
+    walks = engine.random_walk(ring(spark), WalkerConfig(20), apps.ppr(0.3))
+    assert rows_of(paths.to_visits(paths.to_paths(walks))) == rows_of(walks)
+
+
 def test_ppr_lengths_are_geometric(spark):
     walks = engine.random_walk(ring(spark), WalkerConfig(8000), apps.ppr(0.25))
     n = Counter(r.path_length for r in paths.to_paths(walks).collect())
@@ -247,6 +349,16 @@ def test_specifications_are_validated():
     for bad in ({"rate": 0}, {"rate": 1.5}, {"strategy": "magic"}):
         with pytest.raises(ValueError):
             WalkConfig(**bad)
+    for bad in ({"key": "etype"}, {"table": pd.DataFrame({"x": [1]})}, {"table": pd.DataFrame({"v": [1]}), "key": "etype"}):
+        with pytest.raises(ValueError):
+            Query(**bad)
+    for bad in ({"extend": ok, "query": Query()}, {"extend": ok, "dynamic": "1.0", "upper": 1, "outlier_key": ("dst", "prev")}):
+        with pytest.raises(ValueError):
+            Transition(**bad)
+    with pytest.raises(ValueError, match="prev"):
+        apps.node2vec(3, 2, 1)[1].validate(WalkerConfig(3))
+    with pytest.raises(ValueError):
+        WalkConfig(discard=True)
     with pytest.raises(ValueError):
         apps.ppr(2)
     with pytest.raises(ValueError):

@@ -84,7 +84,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         spec = apps.deepwalk(a.l, weighted or a.app == "biased")
     began = time.perf_counter()
-    walks = random_walk(graph, WalkerConfig(a.w, starts=starts, **state), spec, WalkConfig(rate=a.r, strategy=a.strategy, output=str(Path(a.o)) if a.o else None, with_head=a.head))
+    walks = random_walk(graph, WalkerConfig(a.w, starts=starts, **state), spec, WalkConfig(rate=a.r, strategy=a.strategy, output=str(Path(a.o)) if a.o else None, with_head=a.head, discard=bool(a.o)))
     if not a.o:
         walks.write.format("noop").mode("overwrite").save()
     print(f"{a.app}: {time.perf_counter() - began:.2f} s", file=sys.stderr)

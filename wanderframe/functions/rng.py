@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 P = (1 << 31) - 1
 # salts of the draws
-EXTEND, START, SCHEME, EDGE, DART = 1, 2, 3, 10, 12
-#: Salts that one attempt uses: two for the edge, one for the dart, one spare.
+EXTEND, START, SCHEME, EDGE, DART, REGION = 1, 2, 3, 10, 12, 13
+#: Salts that one attempt uses: two for the edge, one for the dart, one for the region it falls into.
 PER_ATTEMPT = 4
 
 

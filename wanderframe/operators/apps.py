@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from wanderframe.operators.graph import Graph
-from wanderframe.plans.spec import Component, Transition, WalkerConfig
+from wanderframe.plans.spec import Component, Query, Transition
 
 TAGS = 4
 NO_VERTEX = -1
@@ -72,10 +72,15 @@ def node2vec(length: int | str, p: float | str, q: float | str, weighted: bool =
         f"CASE WHEN prev < 0 THEN greatest(CAST(1.0 AS DOUBLE), {far}) WHEN dst = prev THEN {back} WHEN linked THEN CAST(1.0 AS DOUBLE) ELSE {far} END",
         lambda **k: np.where(k["prev"] < 0, np.maximum(1.0, value(q, k)), np.where(k["dst"] == k["prev"], value(p, k), np.where(k["linked"], 1.0, value(q, k)))),
     )
-    outlier = Component("dst = prev", lambda **k: k["dst"] == k["prev"])
-    high = Component(back, lambda **k: value(p, k))
     asks = Component("prev >= 0 AND dst <> prev")
-    return previous(), Transition(up_to(length), weight_of(weighted), d, ub, lb, high, outlier, second_order=True, asks=asks)
+    rising: dict = {}
+    if isinstance(p, str) or isinstance(q, str) or 1 / p > max(1.0, 1 / q):  # the way back may exceed the bound
+        rising = {
+            "outlier": Component("dst = prev", lambda **k: k["dst"] == k["prev"]),
+            "outlier_upper": Component(back, lambda **k: value(p, k)),
+            "outlier_key": ("dst", Component("prev", lambda **k: k["prev"])),
+        }
+    return previous(), Transition(up_to(length), weight_of(weighted), d, ub, lb, second_order=True, asks=asks, **rising)
 
 
 class Schemes:
@@ -141,38 +146,53 @@ def metapath(graph: Graph, schemes: Schemes, length: int | str, weighted: bool =
     return Graph(graph.edges, graph.v_num, masks), {"init": init}, Transition(ext, weight_of(weighted), d, 1.0)
 
 
-def tag_walk(length: int, vertex_weight: float = 1.0, amplifier: float | None = None, weighted: bool = True) -> tuple[dict, Transition]:
+def asked_when_moved() -> Query:
+    """Asks the last vertex for itself and its attributes, from the second move on."""
+    return Query(Component("prev", lambda **k: k["prev"]), Component("step > 0", lambda **k: k["step"] > 0))
+
+
+def tag_walk(length: int, vertex_weight: float = 1.0, amplifier: float | None = None, weighted: bool = True, order: int = 1) -> tuple[dict, Transition]:
     """Tags of the last vertex, the walker and the edge decide; needs the vertex attribute `tag` and edges with `etype` as tag.
 
-    Without an amplifier the bounds depend on the vertex; with one, edges of the walker's tag are outliers.
+    Without an amplifier the bounds depend on the vertex; with one, edges of the walker's tag are outliers.  Of first
+    order the walker carries the last vertex's tag, of second order it asks for it.
     """
     c = float(vertex_weight)
+    last = "last_tag" if order == 1 else "re_tag"
+    query = None if order == 1 else asked_when_moved()
     more = {
         "tag": (Component(f"wid % {TAGS}"), Component(f"(tag + 1) % {TAGS}", lambda **k: (k["tag"] + 1) % TAGS)),
         "last_tag": (Component("CAST(0 AS BIGINT)"), Component("at_tag", lambda **k: k["at_tag"])),
     }
-    mixed = f"CAST(1 + (last_tag + tag + etype) % {TAGS} AS DOUBLE)"
-    base = lambda k: 1.0 + (k["last_tag"] + k["tag"] + k["etype"]) % TAGS
+    if order != 1:
+        del more["last_tag"]
+    mixed = f"CAST(1 + ({last} + tag + etype) % {TAGS} AS DOUBLE)"
+    base = lambda k: 1.0 + (k[last] + k["tag"] + k["etype"]) % TAGS
     if amplifier is None:
         d = Component(f"CASE WHEN step = 0 THEN CAST({TAGS} AS DOUBLE) ELSE {mixed} + at_tag * CAST({c!r} AS DOUBLE) END", lambda **k: np.where(k["step"] == 0, float(TAGS), base(k) + k["at_tag"] * c))
         ub = Component(f"{TAGS} + at_tag * CAST({c!r} AS DOUBLE)", lambda **k: TAGS + k["at_tag"] * c)
         lb = Component(f"at_tag * CAST({c!r} AS DOUBLE)", lambda **k: k["at_tag"] * c)
-        return previous(**more), Transition(up_to(length), weight_of(weighted), d, ub, lb)
+        return previous(**more), Transition(up_to(length), weight_of(weighted), d, ub, lb, query=query)
     a = float(amplifier)
     d = Component(
         f"CASE WHEN step = 0 THEN CAST({TAGS} AS DOUBLE) ELSE {mixed} * CASE WHEN tag = etype THEN CAST({a!r} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END END",
         lambda **k: np.where(k["step"] == 0, float(TAGS), base(k) * np.where(k["tag"] == k["etype"], a, 1.0)),
     )
     outlier = Component("step > 0 AND tag = etype", lambda **k: (k["step"] > 0) & (k["tag"] == k["etype"]))
-    return previous(**more), Transition(up_to(length), weight_of(weighted), d, float(TAGS), 1.0, TAGS * a, outlier)
+    key = ("etype", Component("CASE WHEN step > 0 THEN tag END", lambda **k: np.where(k["step"] > 0, k["tag"], -1)))
+    return previous(**more), Transition(up_to(length), weight_of(weighted), d, float(TAGS), 1.0, TAGS * a, outlier, key, query)
 
 
 MAGIC = 10_000_007
 LIMB = 1 << 32
 
 
-def hash_walk(length: int, weighted: bool = True) -> tuple[dict, Transition]:
-    """Carries a 64-bit hash of its path, held in two 32-bit limbs so that nothing overflows; the hash steers the choice."""
+def hash_walk(length: int, weighted: bool = True, order: int = 1) -> tuple[dict, Transition]:
+    """Carries a 64-bit hash of its path, held in two 32-bit limbs so that nothing overflows; the hash steers the choice.
+
+    Of second order the last vertex is asked for its id.
+    """
+    last = "prev" if order == 1 else "re_v"
     first_low, first_high = f"(wid * {MAGIC} + v) % {LIMB}", f"CAST(floor((wid * {MAGIC} + v) / CAST({LIMB} AS DOUBLE)) AS BIGINT) % {LIMB}"
     low = f"((low * {MAGIC} + wid) % {LIMB})"
     more = {
@@ -183,11 +203,7 @@ def hash_walk(length: int, weighted: bool = True) -> tuple[dict, Transition]:
         ),
     }
     d = Component(
-        "CASE WHEN step = 0 THEN CAST(3.0 AS DOUBLE) ELSE CAST(1 + ((high % 3 + low % 3) % 3 + (prev ^ dst)) % 2 AS DOUBLE) END",
-        lambda **k: np.where(k["step"] == 0, 3.0, 1.0 + ((k["high"] % 3 + k["low"] % 3) % 3 + (k["prev"] ^ k["dst"])) % 2),
+        f"CASE WHEN step = 0 THEN CAST(3.0 AS DOUBLE) ELSE CAST(1 + ((high % 3 + low % 3) % 3 + ({last} ^ dst)) % 2 AS DOUBLE) END",
+        lambda **k: np.where(k["step"] == 0, 3.0, 1.0 + ((k["high"] % 3 + k["low"] % 3) % 3 + (np.nan_to_num(k[last]).astype(np.int64) ^ k["dst"])) % 2),
     )
-    return previous(**more), Transition(up_to(length), weight_of(weighted), d, 3.0, 1.0)
-
-
-def walkers(num: int | None = None, table: DataFrame | None = None, starts: str | list[int] = "equal", state: dict | None = None) -> WalkerConfig:
-    return WalkerConfig(num, table, starts, **(state or {}))
+    return previous(**more), Transition(up_to(length), weight_of(weighted), d, 3.0, 1.0, query=None if order == 1 else asked_when_moved())

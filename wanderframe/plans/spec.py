@@ -4,6 +4,7 @@ Components are SQL expressions, so Catalyst compiles them.  They may name
     wid, step, v      the walker, its number of moves so far, its vertex
     dst, weight, …    the candidate edge and its columns
     linked            second order: whether (prev, dst) is an edge
+    re_<c>            second order: what the asked vertex answers (see Query)
     at_<a>, to_<a>    attributes of the current vertex and of dst
     <state>, <column> the walker's state and the columns of its start row
 A component may also bring a NumPy twin (`vector`), called with the same names
@@ -34,6 +35,30 @@ def component(x: Component | str | float | None) -> Component | None:
     return Component(f"CAST({value!r} AS DOUBLE)", lambda **_: value)
 
 
+@dataclass
+class Query:
+    """Second order: what a walker asks another vertex before it weighs a candidate.
+
+    vertex names the vertex that is asked, such as `prev`, and when says whether there is anything to ask.  Without
+    a table the answer is the vertex itself: re_v, re_tot, re_deg and its attributes as re_<a>.  A table (v, …) has
+    one row of answers for each vertex, with a key (v, key, …) one for each vertex and value of `key`, which may
+    name the walker's and the candidate's columns; its other columns are the answers.  Where nothing was asked or
+    nothing is known, the answers are null.
+    """
+
+    vertex: Component | str = "prev"
+    when: Component | str = "prev >= 0"
+    table: DataFrame | None = None
+    key: Component | str | None = None
+
+    def __post_init__(self) -> None:
+        self.vertex, self.when, self.key = component(self.vertex), component(self.when), component(self.key)
+        if self.key is not None and self.table is None:
+            raise ValueError("a key asks for an entry of a table")
+        if self.table is not None and (missing := {"v", *["key"] * (self.key is not None)} - set(self.table.columns)):
+            raise ValueError(f"the table of answers lacks {sorted(missing)}")
+
+
 @dataclass
 class WalkerConfig:
     """Walkers are `num` ids from 0 on, or the rows (wid, start, …) of a table.
@@ -71,7 +96,11 @@ class Transition:
     upper bounds dynamic at a vertex and is required with it; lower lets a
     candidate be accepted without the second-order lookup.  outlier_upper and
     outlier belong together: the edges that `outlier` selects may exceed
-    `upper` and are bounded by outlier_upper.
+    `upper` and are bounded by outlier_upper.  With outlier_key, which says the
+    same as an equation (of the edge's columns, of the walker's), what they
+    exceed is drawn apart: a candidate comes from all edges under `upper`, or
+    from the outliers under the rest, in proportion to both areas, so few
+    candidates are rejected however far the outliers rise.
     """
 
     extend: Component | str | float | None = None
@@ -81,6 +110,8 @@ class Transition:
     lower: Component | str | float | None = None
     outlier_upper: Component | str | float | None = None
     outlier: Component | str | None = None
+    outlier_key: tuple[str, Component | str] | None = None
+    query: Query | None = None
     second_order: bool = False
     #: Second order: when the lookup is needed at all, such as `prev >= 0`.
     asks: Component | str | None = None
@@ -96,13 +127,28 @@ class Transition:
             raise ValueError("bounds and outliers mean nothing without a dynamic component")
         if (self.outlier_upper is None) != (self.outlier is None):
             raise ValueError("an outlier bound and the outlier search belong together")
-        if self.second_order and self.dynamic is None:
+        if self.outlier_key is not None:
+            if self.outlier is None:
+                raise ValueError("a key of outliers needs their bound and their condition")
+            self.outlier_key = (self.outlier_key[0], component(self.outlier_key[1]))
+        if (self.second_order or self.query is not None) and self.dynamic is None:
             raise ValueError("a second-order walk needs a dynamic component")
         if self.asks is not None and not self.second_order:
             raise ValueError("only a second-order walk asks another vertex")
 
+    def validate(self, walkers: WalkerConfig) -> None:
+        """What only shows with the walkers: whose edges a second-order walk looks up."""
+        known = {*walkers.init, *(walkers.table.columns if walkers.table is not None else [])}
+        if self.second_order and "prev" not in known:
+            raise ValueError("a second-order walk needs the state `prev`")
+
     @property
     def bound(self) -> Component | None:
+        """The bound under which candidates are drawn from all edges: of outliers too, unless these are drawn apart."""
+        return self.upper if self.outlier_key is not None else self.most
+
+    @property
+    def most(self) -> Component | None:
         """The bound of every edge, outliers included."""
         if self.outlier_upper is None:
             return self.upper
@@ -113,18 +159,25 @@ class Transition:
 
 @dataclass
 class WalkConfig:
-    """How a walk runs and where it goes."""
+    """How a walk runs and where it goes.
+
+    With a rate below 1 the walkers go in epochs, one after another: each is walked, written to `output`, and handed
+    to `consumer` before the next begins.  discard then frees its rows, and the walk gives none back.
+    """
 
     rate: float = 1.0
     strategy: str = "auto"
     output: str | None = None
     with_head: bool = False
     consumer: Callable[[DataFrame, int], None] | None = None
+    discard: bool = False
     check_bounds: bool = False
     max_steps: int = 100_000
 
     def __post_init__(self) -> None:
         if not 0 < self.rate <= 1:
             raise ValueError("the rate must be above 0 and at most 1")
+        if self.discard and not (self.output or self.consumer):
+            raise ValueError("rows that nobody takes are not discarded")
         if self.strategy not in ("auto", "tasks", "supersteps", "recursive"):
             raise ValueError(f"unknown strategy {self.strategy!r}")

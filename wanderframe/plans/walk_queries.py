@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from wanderframe.operators import analytics, apps, paths
 from wanderframe.operators.graph import Graph
 from wanderframe.plans import engine, static
 from wanderframe.plans.oracles import walk_sql
-from wanderframe.plans.spec import Transition, WalkConfig, WalkerConfig
+from wanderframe.plans.spec import Component, Query, Transition, WalkConfig, WalkerConfig
 from wanderframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,6 +304,22 @@ def tag_reachable(spark: SparkSession, d: str) -> DataFrame:
     return analytics.reachable_states(g.edges, seeds, "true", {"tag": "(tag + 1) % 4", "last_tag": "v % 4"})
 
 
+@query(f"""WITH RECURSIVE e AS ({TAGGED}), r(v, tag, last_tag) AS (
+  SELECT range, t, CAST(0 AS BIGINT) FROM range({N}), (SELECT range AS t FROM range(4))
+  UNION SELECT e.dst, (r.tag + 1) % 4, r.v % 4 FROM r JOIN e ON e.src = r.v),
+m AS (SELECT r.*, e.dst, sum(e.weight * (1 + (last_tag + tag + etype) % 4 + (r.v % 4) * 0.5)) AS m FROM r JOIN e ON e.src = r.v GROUP BY ALL)
+SELECT v, tag, last_tag, dst, CAST(m AS DOUBLE) / CAST(sum(m) OVER (PARTITION BY v, tag, last_tag) AS DOUBLE) AS prob FROM m""")
+def tag_transition(spark: SparkSession, d: str) -> DataFrame:
+    """The exact matrix of the tag walk, one row for each state and neighbour."""
+    g = tagged(spark, d)
+    return analytics.typed_matrix(tag_reachable(spark, d), g.edges, "true", "weight", "1 + (last_tag + tag + etype) % 4 + (v % 4) * 0.5D")
+
+
+@query(f"WITH e AS ({TAGGED}), o AS (SELECT src AS v, count(*) AS o FROM e GROUP BY 1) SELECT CAST(sum((range % 4) * coalesce(o, 0)) AS BIGINT) AS total FROM range({N}) LEFT JOIN o ON o.v = range")
+def vertex_attribute_sum(spark: SparkSession, d: str) -> DataFrame:
+    return tagged(spark, d).vertex_sum(F.col("tag") * F.col("out_degree"))
+
+
 # ---------------------------------------------------------------- walks over the loaded edges
 
 LEN = "CASE WHEN step < len THEN 1.0 ELSE 0.0 END"
@@ -331,7 +348,8 @@ def ppr_walk(spark: SparkSession, d: str) -> DataFrame:
 N2V_FAR = "greatest(CAST(1.0 AS DOUBLE), 1.0 / CAST(q AS DOUBLE))"
 N2V = {
     "dynamic": f"CASE WHEN prev < 0 THEN {N2V_FAR} WHEN dst = prev THEN 1.0 / CAST(p AS DOUBLE) WHEN linked THEN 1.0 ELSE 1.0 / CAST(q AS DOUBLE) END",
-    "bound": f"greatest({N2V_FAR}, 1.0 / CAST(p AS DOUBLE))",
+    "bound": N2V_FAR,
+    "apart": ("dst", "prev", "1.0 / CAST(p AS DOUBLE)"),
     "init": {"prev": "CAST(-1 AS BIGINT)"},
     "update": {"prev": "v"},
     "second_order": True,
@@ -425,31 +443,143 @@ def node2vec_supersteps(spark: SparkSession, d: str) -> DataFrame:
     return engine.random_walk(busy(nations(spark, d)), WalkerConfig(200, **state), spec, WalkConfig(strategy="supersteps"))
 
 
-def tag_oracle(dynamic: str, bound: str) -> str:
-    text = walk_sql(TAGGED, equal(200), to(6), "weight", dynamic, bound, {"prev": "CAST(-1 AS BIGINT)", "tag": "wid % 4", "last_tag": "CAST(0 AS BIGINT)"}, {"prev": "v", "tag": "(tag + 1) % 4", "last_tag": "v % 4"}, payload="weight, etype")
+def tag_oracle(dynamic: str, bound: str, apart: tuple[str, str, str] | None = None, edges: str = TAGGED, seeds: str = equal(200), length: str = to(6)) -> str:
+    text = walk_sql(edges, seeds, length, "weight", dynamic, bound, {"prev": "CAST(-1 AS BIGINT)", "tag": "wid % 4", "last_tag": "CAST(0 AS BIGINT)"}, {"prev": "v", "tag": "(tag + 1) % 4", "last_tag": "v % 4"}, payload="weight, etype", apart=apart)
     return text
 
 
-@query(tag_oracle("CASE WHEN step = 0 THEN 4.0 ELSE CAST(1 + (last_tag + tag + etype) % 4 AS DOUBLE) + (v % 4) * CAST(0.5 AS DOUBLE) END", "4 + (v % 4) * CAST(0.5 AS DOUBLE)"))
+TAG_BOUND = ("CASE WHEN step = 0 THEN 4.0 ELSE CAST(1 + (last_tag + tag + etype) % 4 AS DOUBLE) + (v % 4) * CAST(0.5 AS DOUBLE) END", "4 + (v % 4) * CAST(0.5 AS DOUBLE)")
+
+
+@query(tag_oracle(*TAG_BOUND))
 def tag_walk_bound(spark: SparkSession, d: str) -> DataFrame:
     state, spec = apps.tag_walk(6, 0.5)
     return engine.random_walk(tagged(spark, d), WalkerConfig(200, **state), spec)
 
 
-@query(tag_oracle("CASE WHEN step = 0 THEN 4.0 ELSE CAST(1 + (last_tag + tag + etype) % 4 AS DOUBLE) * CASE WHEN tag = etype THEN 3.5 ELSE 1.0 END END", "14.0"))
+TAG_OUTLIER = ("CASE WHEN step = 0 THEN 4.0 ELSE CAST(1 + (last_tag + tag + etype) % 4 AS DOUBLE) * CASE WHEN tag = etype THEN 3.5 ELSE 1.0 END END", "4.0", ("etype", "CASE WHEN step > 0 THEN tag END", "14.0"))
+
+
+@query(tag_oracle(*TAG_OUTLIER))
 def tag_walk_outlier(spark: SparkSession, d: str) -> DataFrame:
     state, spec = apps.tag_walk(6, amplifier=3.5)
     return engine.random_walk(tagged(spark, d), WalkerConfig(200, **state), spec)
 
 
-@query(walk_sql(NATIONS, equal(300), to(8), "weight", "CASE WHEN step = 0 THEN 3.0 ELSE CAST(1 + ((high % 3 + low % 3) % 3 + xor(prev, dst)) % 2 AS DOUBLE) END", "3.0",
-    {"prev": "CAST(-1 AS BIGINT)", "low": "(wid * 10000007 + v) % 4294967296", "high": "(wid * 10000007 + v) // 4294967296 % 4294967296"},
-    {"prev": "v", "low": "xor((low * 10000007 + wid) % 4294967296, dst)", "high": "(high * 10000007 + (low * 10000007 + wid) // 4294967296) % 4294967296"}))
+def hash_oracle(edges: str, seeds: str, length: str, payload: str = "") -> str:
+    return walk_sql(edges, seeds, length, "weight", "CASE WHEN step = 0 THEN 3.0 ELSE CAST(1 + ((high % 3 + low % 3) % 3 + xor(prev, dst)) % 2 AS DOUBLE) END", "3.0",
+        {"prev": "CAST(-1 AS BIGINT)", "low": "(wid * 10000007 + v) % 4294967296", "high": "(wid * 10000007 + v) // 4294967296 % 4294967296"},
+        {"prev": "v", "low": "xor((low * 10000007 + wid) % 4294967296, dst)", "high": "(high * 10000007 + (low * 10000007 + wid) // 4294967296) % 4294967296"}, payload=payload)
+
+
+@query(hash_oracle(NATIONS, equal(300), to(8)))
 def hash_walk(spark: SparkSession, d: str) -> DataFrame:
     state, spec = apps.hash_walk(8)
     return engine.random_walk(nations(spark, d), WalkerConfig(300, **state), spec)
 
 
+# second order: the last vertex is asked for what the first-order walks carry along; the oracles are those of first order
+
+
+@query(ORACLES["tag_walk_bound"])
+def tag_walk_bound_2nd(spark: SparkSession, d: str) -> DataFrame:
+    state, spec = apps.tag_walk(6, 0.5, order=2)
+    return engine.random_walk(tagged(spark, d), WalkerConfig(200, **state), spec)
+
+
+@query(ORACLES["tag_walk_outlier"])
+def tag_walk_outlier_2nd(spark: SparkSession, d: str) -> DataFrame:
+    state, spec = apps.tag_walk(6, amplifier=3.5, order=2)
+    return engine.random_walk(tagged(spark, d), WalkerConfig(200, **state), spec)
+
+
+@query(ORACLES["hash_walk"])
+def hash_walk_2nd(spark: SparkSession, d: str) -> DataFrame:
+    state, spec = apps.hash_walk(8, order=2)
+    return engine.random_walk(nations(spark, d), WalkerConfig(300, **state), spec)
+
+
+# ---------------------------------------------------------------- supersteps over the loaded edges and walkers
+
+SUPERSTEPS = WalkConfig(strategy="supersteps")
+
+
+@query(ORACLES["ppr_walk"])
+def ppr_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return engine.random_walk(heavy(spark, d), WalkerConfig(table=own_walkers(spark, d, "ppr")), apps.ppr(1 / 80, True), SUPERSTEPS)
+
+
+@query(walk_sql(HEAVY, walkers_sql("deepwalk"), LEN, "weight", payload="weight, etype", **DYNAMIC))
+def dynamic_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    state, spec = apps.dynamic_walk("len")
+    return engine.random_walk(heavy(spark, d), WalkerConfig(table=own_walkers(spark, d, "deepwalk"), **state), spec, SUPERSTEPS)
+
+
+TYPED = HEAVY + " AND etype IS NOT NULL"
+
+
+def with_tags(spark: SparkSession, d: str) -> Graph:
+    """The loaded edges with a type, which is their tag; a vertex's tag follows from its id."""
+    g = Graph(heavy(spark, d).edges.where("etype IS NOT NULL"))
+    return Graph(g.edges, attributes=g.vertices().select("v", (F.col("v") % 4).alias("tag")))
+
+
+def tag_supersteps(spark: SparkSession, d: str, **form: object) -> DataFrame:
+    state, spec = apps.tag_walk("len", **form)
+    return engine.random_walk(with_tags(spark, d), WalkerConfig(table=own_walkers(spark, d, "deepwalk"), **state), spec, SUPERSTEPS)
+
+
+ON_TYPED = {"edges": TYPED, "seeds": walkers_sql("deepwalk"), "length": LEN}
+
+
+@query(tag_oracle(*TAG_BOUND, **ON_TYPED))
+def tag_bound_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return tag_supersteps(spark, d, vertex_weight=0.5)
+
+
+@query(ORACLES["tag_bound_supersteps"])
+def tag_bound_2nd_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return tag_supersteps(spark, d, vertex_weight=0.5, order=2)
+
+
+@query(tag_oracle(*TAG_OUTLIER, **ON_TYPED))
+def tag_outlier_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return tag_supersteps(spark, d, amplifier=3.5)
+
+
+@query(ORACLES["tag_outlier_supersteps"])
+def tag_outlier_2nd_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return tag_supersteps(spark, d, amplifier=3.5, order=2)
+
+
+@query(hash_oracle(HEAVY, walkers_sql("deepwalk"), LEN, "weight, etype"))
+def hash_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    state, spec = apps.hash_walk("len")
+    return engine.random_walk(heavy(spark, d), WalkerConfig(table=own_walkers(spark, d, "deepwalk"), **state), spec, SUPERSTEPS)
+
+
+def reply_oracle() -> str:
+    text = walk_sql(TYPED, walkers_sql("deepwalk"), LEN, "weight", "1.0 + least(re_n, 3)", "4.0", {"prev": "CAST(-1 AS BIGINT)"}, {"prev": "v"}, payload="weight, etype",
+                    ctes=f"counts AS (SELECT src, etype, count(*) AS n FROM ({TYPED}) GROUP BY 1, 2),", extra="LEFT JOIN counts n ON n.src = d.prev AND n.etype = c.etype AND d.step > 0")
+    return text.replace("SELECT d.*, c.dst", "SELECT d.*, coalesce(n.n, 0) AS re_n, c.dst").replace("EXCLUDE (x, y1", "EXCLUDE (re_n, x, y1")
+
+
+@query(reply_oracle())
+def reply_walk(spark: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
+    """Asks the last vertex how many out-edges of the candidate's type it has: an answer from a table with a key."""
+    g = Graph(heavy(spark, d).edges.where("etype IS NOT NULL"))
+    counts = g.edges.groupBy(F.col("src").alias("v"), F.col("etype").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    query = Query(Component("prev", lambda **k: k["prev"]), Component("step > 0", lambda **k: k["step"] > 0), counts, Component("etype", lambda **k: k["etype"]))
+    more = Component("1.0D + least(coalesce(re_n, 0), 3)", lambda **k: 1.0 + np.minimum(np.nan_to_num(k["re_n"].astype(float)), 3))
+    spec = Transition(apps.up_to("len"), "weight", more, 4.0, 1.0, query=query)
+    return engine.random_walk(g, WalkerConfig(table=own_walkers(spark, d, "deepwalk"), **apps.previous()), spec, WalkConfig(strategy=strategy))
+
+
+@query(ORACLES["reply_walk"])
+def reply_supersteps(spark: SparkSession, d: str) -> DataFrame:
+    return reply_walk(spark, d, "supersteps")
+
+
 @query(f"SELECT range AS wid, range % {N} AS v FROM range(1000)")
 def start_equal(spark: SparkSession, d: str) -> DataFrame:
     return engine.seeds(spark, nations(spark, d), WalkerConfig(1000)).select("wid", "v")
@@ -471,6 +601,12 @@ def epoch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return engine.random_walk(nations(spark, d), WalkerConfig(100), apps.deepwalk(5, True), WalkConfig(rate=0.3))
 
 
+@query(ORACLES["ppr_walk"])
+def epochs_of_a_table(spark: SparkSession, d: str) -> DataFrame:
+    """The walkers of a table in four epochs."""
+    return engine.random_walk(heavy(spark, d), WalkerConfig(table=own_walkers(spark, d, "ppr")), apps.ppr(1 / 80, True), WalkConfig(rate=0.3))
+
+
 # ---------------------------------------------------------------- what walks give
 
 FOUND = walk_sql(NATIONS, equal(500), to(10), "weight", finish="")
