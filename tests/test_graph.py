@@ -32,6 +32,43 @@ def test_binary_round_trip(spark, tmp_path, n, weighted):
     assert split.count() == n
 
 
+def test_paths_with_a_scheme(spark, tmp_path):
+    """Files behind a URI, appended and overwritten; a missing path is an error."""
+    where = f"file://{tmp_path}/g"
+    for mode in ("overwrite", "append", "append"):
+        io.register(spark)
+        spark.range(5).selectExpr("id AS src", "id + 1 AS dst").write.format("binary_edges").mode(mode).save(where)
+    assert io.read_edges(spark, where, weighted=False).count() == 15 == io.read_edges(spark, str(tmp_path / "g"), weighted=False).count()
+    io.write_edges(spark.range(3).selectExpr("id AS src", "id AS dst"), where)
+    assert io.read_edges(spark, where, weighted=False).count() == 3
+    assert io.uri_of("s3a://bucket/x") == "s3://bucket/x" and io.placed("file:/tmp/x")[1] == "/tmp/x" and io.uri_of("/tmp/x") is None
+    with pytest.raises(Exception, match="does not exist"):
+        io.read_edges(spark, f"{where}-none", weighted=False).count()
+
+
+def test_scheme_tables_beyond_the_limit_are_refused(spark):
+    df = spark.range(11).selectExpr("0 AS scheme_id", "CAST(id AS INT) AS pos", "0 AS etype", "true AS allowed")
+    assert len(io.scheme_rows(df, 11)) == 11
+    with pytest.raises(io.EdgeFileError):
+        io.scheme_rows(df, 10)
+
+
+def test_typed_graphs_load(spark, tmp_path):
+    rows = some_edges(3, 50)
+    io.write_edges(frame(spark, rows), str(tmp_path / "g"))
+    g = Graph.load(spark, str(tmp_path / "g"), 20, typed=True)
+    assert Counter(map(tuple, g.edges.collect())) == Counter(rows)
+
+
+def test_vertex_maps_read_attributes(spark):
+    from pyspark.sql import functions as F
+
+    g = Graph(frame(spark, [(0, 1, 1.0, 0), (0, 2, 1.0, 0)]), 4, spark.createDataFrame([(0, 5), (3, 7)], "v long, tag int"))
+    got = {r.v: (r.x, r.y) for r in g.map_vertices(x=F.col("tag") + F.col("out_degree"), y=F.col("in_degree")).collect()}
+    assert got == {0: (7, 0), 1: (None, 1), 2: (None, 1), 3: (7, 0)}
+    assert g.vertex_sum(F.col("tag")).first().total == 12
+
+
 def test_binary_refuses_what_does_not_fit(spark, tmp_path):
     for rows, kind in (([(1 << 32, 1)], "src long, dst long"), ([(None, 1)], "src long, dst long")):
         with pytest.raises(Exception, match="32 bits|null"):
@@ -145,8 +182,10 @@ def test_random_graphs(spark, undirected):
     assert sorted(rows) == sorted(tuple(r) for r in random_edges(spark, 30, 100, undirected).repartition(3).collect())
     if undirected:
         assert {r[:2] for r in rows} == {(b, a) for a, b, *_ in rows}
+    full = [tuple(r) for r in random_edges(spark, 5, 20, undirected).collect()]
+    assert {r[:2] for r in full} == {(a, b) for a in range(5) for b in range(5) if a != b} and len(full) == 20
     with pytest.raises(ValueError):
-        random_edges(spark, 5, 20)
+        random_edges(spark, 5, 22, undirected)
 
 
 @pytest.mark.parametrize("weights", [[1e-7, 3e-7, 1e-6], [1e-300, 2e-300], [1e308, 1e308, 5e307], [5e-324, 5e-324], [1.0, 1e-20], [1e13, 2.5e13, 1.0], [3.0] * 8])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from wanderframe.operators.graph import Graph
 from wanderframe.plans.spec import Component, Query, Transition
+from wanderframe.sources.edges import scheme_rows
 
 TAGS = 4
 NO_VERTEX = -1
@@ -103,10 +104,7 @@ class Schemes:
     @classmethod
     def of(cls, df: DataFrame, most: int = 100_000) -> Schemes:
         """Schemes are given by the caller and compiled into the plan; a table beyond `most` rows is refused."""
-        rows = df.select("scheme_id", "pos", "etype", "allowed").limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} rows of schemes")
-        return cls([tuple(r) for r in rows])
+        return cls(scheme_rows(df, most))
 
     @property
     def mask_sql(self) -> str:

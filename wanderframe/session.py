@@ -46,3 +46,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever file system it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark itself reads it, so that what opens files without Spark finds the same."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()

@@ -3,16 +3,17 @@
 Binary files have no header; a record is two little-endian u32 (src, dst),
 then a f32 weight if weighted, then an i32 type if typed.  They are read and
 written by a Python Data Source whose partitions are byte ranges on record
-boundaries, decoded by NumPy into Arrow batches.
+boundaries, decoded by NumPy into Arrow batches.  Paths may have a scheme:
+local files, and the distributed file systems and object stores that Arrow
+knows (hdfs, s3, gs, abfs, …).
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,33 @@ class EdgeFileError(ValueError):
     """A file does not hold what it should."""
 
 
+def uri_of(path: str) -> str | None:
+    """The path as Arrow writes it; None for one without a scheme."""
+    if "://" not in path and not path.startswith("file:"):
+        return None
+    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path))
+
+
+def placed(path: str):  # noqa: ANN201
+    """The file system of a path, and the path within it."""
+    from pyarrow import fs
+
+    uri = uri_of(path)
+    return (fs.LocalFileSystem(), path) if uri is None else fs.FileSystem.from_uri(uri)
+
+
+def files_in(fs, path: str) -> list:  # noqa: ANN001
+    """The file at a path, or the files of the folder there that are not hidden."""
+    from pyarrow.fs import FileSelector, FileType
+
+    own = fs.get_file_info(path)
+    if own.type == FileType.NotFound:
+        raise EdgeFileError(f"{path} does not exist")
+    if own.is_file:
+        return [own]
+    return sorted((f for f in fs.get_file_info(FileSelector(path)) if f.is_file and f.base_name[0] not in "._"), key=lambda f: f.path)
+
+
 @dataclass
 class ByteRange(InputPartition):
     path: str
@@ -58,26 +86,28 @@ class BinaryReader(DataSourceReader):
         self.path, self.columns, self.split = path, columns, split
 
     def partitions(self) -> list[InputPartition]:
-        root = Path(self.path)
-        files = sorted(p for p in root.iterdir() if p.is_file() and p.name[0] not in "._") if root.is_dir() else [root]
+        fs, root = placed(self.path)
         size = record_type(self.columns).itemsize
         out: list[InputPartition] = []
-        for f in files:
-            n = f.stat().st_size
-            if n % size:
-                raise EdgeFileError(f"{f} has {n} bytes, which are no whole records of {size}")
+        for f in files_in(fs, root):
+            if f.size % size:
+                raise EdgeFileError(f"{f.path} has {f.size} bytes, which are no whole records of {size}")
             step = max(size, self.split // size * size)
-            out += [ByteRange(str(f), k, min(n, k + step)) for k in range(0, n, step)]
+            out += [ByteRange(f.path, k, min(f.size, k + step)) for k in range(0, f.size, step)]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         kind = record_type(self.columns)
         rows = 1 << 20
-        with open(partition.path, "rb") if partition.path else open(os.devnull, "rb") as f:
+        with placed(self.path)[0].open_input_file(partition.path) as f:
             f.seek(partition.begin)
             left = partition.end - partition.begin
             while left > 0:
                 part = f.read(min(left, rows * kind.itemsize))
+                if not part:
+                    raise EdgeFileError(f"{partition.path} ends too early")
                 left -= len(part)
                 x = np.frombuffer(part, kind)
                 own = [pa.array(x[c].astype(np.int64)) if c in ("src", "dst") else pa.array(np.ascontiguousarray(x[c])) for c in self.columns]
@@ -98,11 +128,11 @@ class BinaryWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         import uuid
 
-        root = Path(self.path)
-        root.mkdir(parents=True, exist_ok=True)
+        fs, root = placed(self.path)
+        fs.create_dir(root, recursive=True)
         name = f".part-{uuid.uuid4().hex}"
         kind = record_type(self.columns)
-        with open(root / name, "wb") as f:
+        with fs.open_output_stream(f"{root}/{name}") as f:
             for b in iterator:
                 x = np.zeros(b.num_rows, kind)
                 for c in self.columns:
@@ -117,21 +147,25 @@ class BinaryWriter(DataSourceArrowWriter):
         return Wrote(name)
 
     def commit(self, messages: list[Wrote | None]) -> None:
-        root = Path(self.path)
-        root.mkdir(parents=True, exist_ok=True)
+        fs, root = placed(self.path)
+        fs.create_dir(root, recursive=True)
         fresh = [m.part for m in messages if m]
+        from pyarrow.fs import FileSelector
+
+        there = [f for f in fs.get_file_info(FileSelector(root)) if f.is_file and f.base_name not in fresh]
         if self.overwrite:
-            for p in root.iterdir():
-                if p.is_file() and p.name not in fresh:
-                    p.unlink()
-        at = len([p for p in root.iterdir() if p.name.startswith("part-")])
+            for f in there:
+                fs.delete_file(f.path)
+            there = []
+        at = sum(f.base_name.startswith("part-") for f in there)
         for k, name in enumerate(fresh):
-            (root / name).rename(root / f"part-{at + k:05d}.bin")
+            fs.move(f"{root}/{name}", f"{root}/part-{at + k:05d}.bin")
 
     def abort(self, messages: list[Wrote | None]) -> None:
+        fs, root = placed(self.path)
         for m in messages:
-            if m:
-                (Path(self.path) / m.part).unlink(missing_ok=True)
+            if m and fs.get_file_info(f"{root}/{m.part}").is_file:
+                fs.delete_file(f"{root}/{m.part}")
 
 
 class BinaryEdges(DataSource):
@@ -202,7 +236,9 @@ def convert(spark: SparkSession, source: str, target: str, weighted: bool = True
 
 def read_schemes(path: str) -> list[tuple[int, int, int, bool]]:
     """Text: `schemes types`, then for each scheme its length and as many rows of 0 and 1; gives (scheme, pos, etype, allowed)."""
-    words = iter(re.findall(r"\S+", Path(path).read_text()))
+    fs, where = placed(path)
+    with fs.open_input_stream(where) as f:
+        words = iter(re.findall(r"\S+", f.read().decode()))
     try:
         n, types = int(next(words)), int(next(words))
         out = [(s, j, k, int(next(words)) != 0) for s in range(n) for j in range(int(next(words))) for k in range(types)]
@@ -222,4 +258,14 @@ def write_schemes(rows: list[tuple[int, int, int, bool]], path: str) -> None:
     for s in range(n):
         length = 1 + max(j for t, j, *_ in rows if t == s)
         lines += [str(length), *(" ".join(str(int(allowed.get((s, j, k), False))) for k in range(types)) for j in range(length))]
-    Path(path).write_text("\n".join(lines) + "\n")
+    fs, where = placed(path)
+    with fs.open_output_stream(where) as f:
+        f.write(("\n".join(lines) + "\n").encode())
+
+
+def scheme_rows(df: DataFrame, most: int = 100_000) -> list[tuple[int, int, int, bool]]:
+    """Schemes (scheme_id, pos, etype, allowed) as rows; a scheme file is one file, and a table of more rows is refused."""
+    rows = list(islice(df.select("scheme_id", "pos", "etype", "allowed").limit(most + 1).toLocalIterator(), most + 1))
+    if len(rows) > most:
+        raise EdgeFileError(f"more than {most} rows of schemes")
+    return [tuple(r) for r in rows]

@@ -16,11 +16,15 @@ def random_edges(spark: SparkSession, v_num: int, e_num: int, undirected: bool =
     """
     wanted = e_num // 2 if undirected else e_num
     possible = v_num * (v_num - 1) // (2 if undirected else 1)
-    if wanted > possible // 2:
-        raise ValueError(f"{wanted} of {possible} possible pairs: too dense to be drawn")
-    rows = rng.with_walker_hash(spark.range(4 * wanted + 64).select(F.col("id").alias("wid")))
+    if wanted > possible:
+        raise ValueError(f"{wanted} of {possible} possible pairs")
+    dense = wanted > possible // 2  # draws would repeat too often: all pairs are numbered, and the first by their draw are taken
+    rows = rng.with_walker_hash(spark.range(v_num * v_num if dense else 4 * wanted + 64).select(F.col("id").alias("wid")))
     rows = rng.with_draws(rows, {"a": 21, "b": 22, "w": 23, "t": 24}, step=F.lit(seed))
-    ends = rows.select((F.col("a") % v_num).alias("src"), (F.col("b") % v_num).alias("dst"), "w", "t", F.col("wid").alias("k")).where("src <> dst")
+    if dense:
+        ends = rows.select(F.expr(f"wid DIV {v_num}").alias("src"), (F.col("wid") % v_num).alias("dst"), "w", "t", F.col("a").alias("k")).where("src < dst" if undirected else "src <> dst")
+    else:
+        ends = rows.select((F.col("a") % v_num).alias("src"), (F.col("b") % v_num).alias("dst"), "w", "t", F.col("wid").alias("k")).where("src <> dst")
     if undirected:
         ends = ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w", "t", "k")
     once = ends.groupBy("src", "dst").agg(F.min(F.struct("k", "w", "t")).alias("x"))
