@@ -40,8 +40,11 @@ MOST_SENT_EDGES = 4_000_000
 MOST_SENT_BYTES = 256 << 20
 #: Moves of a static walk in one job.
 MOVES = 6
-#: Candidates of a dynamic walk that one job tries for each walker.
+#: Candidates of a dynamic walk that one job tries for each walker, and how many for one that waits after `a` of them.
 TRIES = 4
+TRIED = f"greatest(a, {TRIES})"
+#: The key of cells that hold all edges of a vertex.
+ALL = -(1 << 62)
 #: Rejections after which a walker's vertex is searched for any edge that can be taken.
 PATIENCE = 64
 #: The recursive strategy stays below Spark's own limit on recursion depth.
@@ -74,7 +77,7 @@ class Prepared:
     def __init__(self, graph: Graph, static: str | None, dynamic: bool) -> None:
         self.graph = graph
         self.queries: dict[int, DataFrame] = {}
-        self.keys: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.placed: dict[str, DataFrame] = {}
         self.cdf = kept(st.intervals(graph, static, uniform_if_zero=not dynamic))
         self.attributes = [c for c in graph.attributes.columns if c != "v"] if graph.attributes is not None else []
         self.payload = [c for c in graph.edges.columns if c not in ("src", "dst")]
@@ -100,15 +103,24 @@ class Prepared:
     def pairs(self) -> DataFrame:
         return placed(kept(self.cdf.select(F.col("src").alias("prev"), "dst").distinct()), "prev", "dst")
 
-    def outliers(self, edge: str) -> tuple[DataFrame, DataFrame]:
-        """((src, key, tot, deg) of the edges whose expression `edge` is key, their cells by (src, key, cell))."""
-        if edge not in self.keys:
-            rows = self.cdf.withColumn("key", F.expr(edge)).where("key IS NOT NULL").drop("lo", "hi", "tot", "deg")
+    def outliers(self, edge: str) -> tuple[str, str]:
+        """Views of (src, key, tot, deg) of the edges whose expression `edge` is key, and of the cells with theirs.
+
+        The second holds the cells of all edges, with the key ALL, and those of each group: one join draws from either.
+        """
+        names = f"groups of {edge}", f"cells of {edge}"
+        if names[0] not in self.placed:
+            rows = self.cdf.withColumn("key", F.expr(edge).cast("long")).where("key IS NOT NULL").drop("lo", "hi", "tot", "deg")
             rows = running_sums(rows, ["src", "key"], ["dst", *self.payload], "w").withColumn("lo", F.col("hi") - F.col("w"))
             rows = kept(rows)
-            groups = kept(rows.groupBy("src", "key").agg(F.max("tot").alias("tot"), F.max("deg").alias("deg")))
-            self.keys[edge] = groups, kept(st.cells(rows, self.vertices))
-        return self.keys[edge]
+            groups = rows.groupBy("src", "key").agg(F.max("tot").alias("tot"), F.max("deg").alias("deg"))
+            whole = st.cells(self.cdf, self.vertices).withColumn("key", F.lit(ALL))
+            self.placed[names[0]] = placed(kept(groups), "src", "key")
+            self.placed[names[1]] = placed(kept(whole.unionByName(st.cells(rows, self.vertices))), "src", "key", "cell")
+            for name in names:
+                self.views[name] = f"table_{uuid.uuid4().hex[:12]}"
+                self.placed[name].createOrReplaceTempView(self.views[name])
+        return self.views[names[0]], self.views[names[1]]
 
     def answers(self, query: Query) -> DataFrame:
         """(v, [key,] re_…) of all that may be asked."""
@@ -146,6 +158,9 @@ class Prepared:
         for v in self.views.values():
             self.graph.spark.catalog.dropTempView(v)
         self.views.clear()
+        for df in self.placed.values():
+            df.unpersist()
+        self.placed.clear()
         for name in ("cells", "pairs"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
@@ -281,8 +296,8 @@ class Supersteps:
         found = done.selectExpr("wid", "step - size(hops) AS base", "posexplode(hops) AS (i, v)").selectExpr("wid", "base + i + 1 AS step", "v")
         return done.where("on_way").drop("hops", "on_way"), found
 
-    def candidates(self, going: str, state: DataFrame) -> DataFrame:
-        """TRIES candidate edges for every walker, with their dart _dart, _over (what acceptance takes off the dynamic component) and _sure.
+    def candidates(self, going: str) -> str:
+        """Candidate edges for every walker, with their dart _dart, _over (what acceptance takes off the dynamic component) and _sure.
 
         The dart falls below the regular bound over all edges, or below what the outliers have above it.
         """
@@ -292,34 +307,32 @@ class Supersteps:
         if spec.lower is not None and not self.config.check_bounds:
             sure = f"coalesce(_y * _ub < CAST({spec.lower.sql} AS DOUBLE) * {rng.P}, false)"
         bound = f"CAST({spec.bound.sql} AS DOUBLE) AS _ub"
+        attempts = f"explode(sequence(a, a + {TRIED} - 1)) AS _t"
         if spec.outlier_key is None:
-            text = rng.sql_draws(f"SELECT *, explode(sequence(a, a + {TRIES - 1})) AS _t FROM ({going})", salts, drop="EXCEPT")
+            text = rng.sql_draws(f"SELECT *, {attempts} FROM ({going})", salts, drop="EXCEPT")
             text = with_edge(with_cell(text, "true"), "INNER")
-            return self.sql(f"SELECT *, {sure} AS _sure FROM (SELECT *, _y * _ub AS _dart, 0.0D AS _over FROM (SELECT *, {bound} FROM ({text})))", state)
+            return f"SELECT *, {sure} AS _sure FROM (SELECT *, _y * _ub AS _dart, 0.0D AS _over FROM (SELECT *, {bound} FROM ({text})))"
         groups, cells = self.ready.outliers(spec.outlier_key[0])
-        for name, df in (("groups", groups), ("outliers", cells)):
-            self.ready.views.setdefault(f"{name}{spec.outlier_key[0]}", f"{name}_{uuid.uuid4().hex[:12]}")
-            df.createOrReplaceTempView(self.ready.views[f"{name}{spec.outlier_key[0]}"])
-        groups, cells = (self.ready.views[f"{name}{spec.outlier_key[0]}"] for name in ("groups", "outliers"))
-        text = f"SELECT w.*, coalesce(o.tot, 0) AS _otot, coalesce(o.deg, 0) AS _odeg FROM (SELECT *, CAST({spec.outlier_key[1].sql} AS BIGINT) AS _key FROM ({going})) w LEFT JOIN {groups} o ON w.v = o.src AND w._key = o.key"
+        # walkers without outliers get keys of their own, or they would all meet in one partition
+        key = f"coalesce(CAST({spec.outlier_key[1].sql} AS BIGINT), {ALL} + 1 + h)"
+        text = f"SELECT w.*, coalesce(o.tot, 0) AS _otot, coalesce(o.deg, 0) AS _odeg FROM (SELECT *, {key} AS _key FROM ({going})) w LEFT JOIN {groups} o ON w.v = o.src AND w._key = o.key"
         text = f"SELECT *, {bound}, CAST({spec.outlier_upper.sql} AS DOUBLE) AS _high FROM ({text})"
-        text = f"SELECT * EXCEPT (_high), greatest(coalesce(_high, 0.0D) - _ub, 0.0D) AS _rise, explode(sequence(a, a + {TRIES - 1})) AS _t FROM ({text})"
+        text = f"SELECT * EXCEPT (_high), greatest(coalesce(_high, 0.0D) - _ub, 0.0D) AS _rise, {attempts} FROM ({text})"
         text = rng.sql_draws(text, salts | {"_u": f"_t * {rng.PER_ATTEMPT} + {rng.REGION}"}, drop="EXCEPT")
-        tried = self.sql(f"SELECT * EXCEPT (_u), {rng_region('_u', 'tot', '_ub', '_otot', '_rise')} AS _apart FROM ({text})", state)
-        text = with_edge(with_cell("SELECT * FROM {state} WHERE NOT _apart", "true"), "INNER")
-        regular = self.sql(f"SELECT *, {sure} AS _sure FROM (SELECT *, _y * _ub AS _dart, 0.0D AS _over FROM ({text}))", tried)
-        text = f"SELECT *, CAST(floor(CAST(_r AS DOUBLE) * (CAST(_odeg AS DOUBLE) / CAST(_otot AS DOUBLE))) AS BIGINT) AS _cell FROM (SELECT * EXCEPT (_r1, _r2), (_r1 * {rng.P} + _r2) % _otot AS _r FROM {{state}} WHERE _apart)"
-        text = f"SELECT w.* EXCEPT (_r, _cell), c.* EXCEPT (src, key, cell, lo, hi) FROM ({text}) w JOIN {cells} c ON w.v = c.src AND w._key = c.key AND w._cell = c.cell AND w._r >= c.lo AND w._r < c.hi"
-        apart = self.sql(f"SELECT *, _y * _rise AS _dart, _ub AS _over, false AS _sure FROM ({text})", tried)
-        return regular.unionByName(apart)
+        text = f"SELECT * EXCEPT (_u), {in_rise('_u', 'tot', '_ub', '_otot', '_rise')} AS _apart FROM ({text})"
+        total, entries = "CASE WHEN _apart THEN _otot ELSE tot END", "CASE WHEN _apart THEN _odeg ELSE deg END"
+        text = f"SELECT * EXCEPT (_r1, _r2, _key), CASE WHEN _apart THEN _key ELSE {ALL} END AS _key, (_r1 * {rng.P} + _r2) % ({total}) AS _r FROM ({text})"
+        text = f"SELECT *, CAST(floor(CAST(_r AS DOUBLE) * (CAST({entries} AS DOUBLE) / CAST({total} AS DOUBLE))) AS BIGINT) AS _cell FROM ({text})"
+        text = f"SELECT w.* EXCEPT (_r, _cell, _key), c.* EXCEPT (src, key, cell, lo, hi) FROM ({text}) w JOIN {cells} c ON w.v = c.src AND w._key = c.key AND w._cell = c.cell AND w._r >= c.lo AND w._r < c.hi"
+        text = f"SELECT *, _y * (CASE WHEN _apart THEN _rise ELSE _ub END) AS _dart, CASE WHEN _apart THEN _ub ELSE 0.0D END AS _over FROM ({text})"
+        return f"SELECT *, NOT _apart AND {sure} AS _sure FROM ({text})"
 
     def dynamic_job(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """TRIES candidates for every walker; the first accepted one is its move."""
+        """Some candidates for every walker; the first accepted one is its move.  Who waits tries twice as many in each job."""
         spec, ready = self.spec, self.ready
         going = rng.sql_draws("SELECT * FROM {state}", {"_x": str(rng.EXTEND)}, drop="EXCEPT")
         going = self.without_stuck(f"SELECT * EXCEPT (_x) FROM ({going}) WHERE tot > 0 AND (a > 0 OR {self.extends})")
-        found = self.candidates(going, state)
-        text = "SELECT * FROM {state}"
+        text = self.candidates(going)
         if spec.second_order:
             needed = "NOT _sure" + (f" AND ({spec.asks.sql})" if spec.asks is not None else "")
             text = with_link(f"SELECT *, CASE WHEN {needed} THEN prev END AS _ask FROM ({text})", "_ask")
@@ -333,9 +346,9 @@ class Supersteps:
         own = [c for c in self.carried if c != "wid"]
         best = f"min(CASE WHEN _sure OR _dart < (_d - _over) * {rng.P} THEN struct(_t, {', '.join(edge)}) END) AS _e, first(struct({', '.join(own)})) AS _w"
         text = f"SELECT wid, {best} FROM ({text}) GROUP BY wid"
-        tried = ", ".join(f"CASE WHEN _e IS NULL THEN _w.a + {TRIES} ELSE 0 END AS a" if c == "a" else f"_w.{c}" for c in own)
+        tried = ", ".join(f"CASE WHEN _e IS NULL THEN _w.a + {TRIED.replace('(a', '(_w.a')} ELSE 0 END AS a" if c == "a" else f"_w.{c}" for c in own)
         text = f"SELECT wid, {tried}, {', '.join(f'_e.{c}' for c in edge)}, _e IS NOT NULL AS took FROM ({text})"
-        done = self.keep(self.sql(self.moved(text, "took", "took"), found))
+        done = self.keep(self.sql(self.moved(text, "took", "took"), state))
         return done.drop("took"), done.where("took").select("wid", "step", "v")
 
     def with_answers(self, inner: str, needed: str) -> str:
@@ -372,7 +385,7 @@ class Supersteps:
         return f"SELECT g.* FROM ({going}) g LEFT ANTI JOIN ({stuck}) s ON g.wid = s.wid"
 
 
-def rng_region(u: str, tot: str, bound: str, apart_tot: str, rise: str) -> str:
+def in_rise(u: str, tot: str, bound: str, apart_tot: str, rise: str) -> str:
     """Whether a draw falls among what the outliers have above the bound, in proportion to the areas."""
     area = f"CAST({apart_tot} AS DOUBLE) * {rise}"
     return f"({u} * (CAST({tot} AS DOUBLE) * {bound} + {area}) < {area} * {rng.P})"
