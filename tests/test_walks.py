@@ -14,7 +14,7 @@ from wanderframe.functions import rng
 from wanderframe.operators import analytics, apps, paths
 from wanderframe.operators.graph import Graph, symmetrise
 from wanderframe.plans import engine
-from wanderframe.plans.spec import Component, Query, Transition, WalkConfig, WalkerConfig
+from wanderframe.plans.spec import Component, Query, Transition, WalkConfig, WalkerConfig, opaque
 from wanderframe.session import shared_dir
 
 
@@ -318,6 +318,16 @@ def test_bounds_are_checked_on_demand(spark):
         rows_of(engine.random_walk(ring(spark), WalkerConfig(5), spec, WalkConfig(check_bounds=True)))
 
 
+def test_components_from_opaque_functions(spark):
+    """Functions that SQL can't say, as dynamic component, bound and update of the state."""
+    g = ring(spark)
+    d = opaque(spark, lambda dst, prev, weight: 1.0 + np.abs(np.sin(dst * 0.7 + prev)) * (weight > 2), "dst", "prev", "weight")
+    state = apps.previous(sum=(Component("CAST(0 AS BIGINT)"), opaque(spark, lambda total, dst: (total * 31 + dst) % 997, "sum", "dst", returns="long")))
+    spec = Transition(apps.up_to(4), "weight", d, opaque(spark, lambda v: 2.0 + 0 * v, "v"), 1.0)
+    a, b = strategies(g, WalkerConfig(40, **state), spec, ["tasks", "supersteps"])
+    assert a == b and len(a) == 40 * 5
+
+
 @pytest.mark.parametrize("named", [[(0, 1.0), (1, 2.0), (9, 3.0)], [(0, 1.0), (9, None)], []])
 def test_vertices_without_attributes(spark, named):
     """Vertices 5 and 7 have no out-edges, and no attributes: their neighbours' attributes must not stand in."""

@@ -9,15 +9,19 @@ Components are SQL expressions, so Catalyst compiles them.  They may name
     <state>, <column> the walker's state and the columns of its start row
 A component may also bring a NumPy twin (`vector`), called with the same names
 as keyword arguments in arrays; with twins for all its components a walk can
-run inside tasks over a broadcast graph.
+run inside tasks over a broadcast graph.  `opaque` makes both from one function.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,21 @@ def component(x: Component | str | float | None) -> Component | None:
     return Component(f"CAST({value!r} AS DOUBLE)", lambda **_: value)
 
 
+def opaque(spark: SparkSession, function: Callable, *columns: str, returns: str = "double") -> Component:
+    """A component that SQL can't say: `function` gets the named columns as NumPy arrays and gives an array.
+
+    One function serves both ways a walk runs: as a pandas UDF in its plans, and as the NumPy twin in its tasks.
+    """
+    name = f"opaque_{uuid.uuid4().hex[:12]}"
+
+    @F.pandas_udf(returns)
+    def called(*series: pd.Series) -> pd.Series:
+        return pd.Series(np.broadcast_to(function(*[x.to_numpy() for x in series]), (len(series[0]),)))
+
+    spark.udf.register(name, called)
+    return Component(f"{name}({', '.join(columns)})", lambda **k: function(*[k[c] for c in columns]))
+
+
 @dataclass
 class Query:
     """Second order: what a walker asks another vertex before it weighs a candidate.
@@ -153,7 +172,7 @@ class Transition:
         if self.outlier_upper is None:
             return self.upper
         a, b = self.upper, self.outlier_upper
-        both = None if a.vector is None or b.vector is None else lambda **k: __import__("numpy").maximum(a.vector(**k), b.vector(**k))
+        both = None if a.vector is None or b.vector is None else lambda **k: np.maximum(a.vector(**k), b.vector(**k))
         return Component(f"greatest({a.sql}, {b.sql})", both)
 
 
