@@ -33,7 +33,7 @@ from wanderframe.operators.analytics import union_of
 from wanderframe.operators.graph import Graph, running_sums
 from wanderframe.plans import static as st
 from wanderframe.plans.spec import Query, Transition, WalkConfig, WalkerConfig
-from wanderframe.session import kept, removed, shared_dir
+from wanderframe.session import kept, removed, shared_dir, short_plan_texts
 
 #: Edges up to which a graph may be sent to all executors, and bytes of all that is sent.
 MOST_SENT_EDGES = 4_000_000
@@ -250,6 +250,10 @@ class Supersteps:
 
     def run(self, epoch: Epoch = None) -> DataFrame:
         """(wid, step, v) of the walkers of one epoch."""
+        with short_plan_texts(self.spark):
+            return self.walked(epoch)
+
+    def walked(self, epoch: Epoch) -> DataFrame:
         first = self.keep(self.start(epoch))
         visits = [first.select("wid", "step", "v")]
         step = self.static_job if self.spec.dynamic is None else self.dynamic_job

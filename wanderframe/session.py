@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as Spark itself reads it, so that what opens files without Spark finds the same."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+@contextmanager
+def short_plan_texts(spark: SparkSession, length: int = 2_000) -> Iterator[None]:
+    """For loops of many jobs: Spark's driver keeps the text of every executed plan and of its adaptive changes, so keep them short."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
