@@ -186,6 +186,23 @@ def test_cases_in_spark(spark):
     assert e.parse_lines(lines.limit(0), files).count() == 0
 
 
+def test_long_patterns_block_by_block(monkeypatch):
+    """Followed back in blocks the parse is the same; its memory does not grow with the line."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choices(['"', ",", "1", " ", "x"], k=rnd.randint(20, 60))).strip() or "1" for _ in range(60)]
+    want = read(LAYOUTS[2], lines)
+    monkeypatch.setattr(e, "LONG_PATTERN", 10)
+    monkeypatch.setattr(e.Steps, "BLOCK", 8)
+    assert read(LAYOUTS[2], lines) == want
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert read(LAYOUTS[2], ["1," * 20_000])[0][:3] == ("column_count", 2, 0)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_very_long_lines():
     layout = LAYOUTS[2]
     lines = ['"' + "a" * 500_000 + '",2,3', "1" * 500_000 + ",2,3", "a1." * 100_000 + ",2", "0" * 300 + "7,2,3.5", "7,2," + "0" * 399 + "4"]

@@ -251,6 +251,7 @@ def test_epochs_do_not_change_walks(spark, tmp_path):
     got = rows_of(engine.random_walk(g, WalkerConfig(10), apps.deepwalk(4), config))
     assert got == rows_of(engine.random_walk(g, WalkerConfig(10), apps.deepwalk(4)))
     assert seen == [(0, 3), (1, 3), (2, 3), (3, 1)]
+    assert got == rows_of(engine.random_walk(g, WalkerConfig(10), apps.deepwalk(4), WalkConfig(rate=0.5, strategy="recursive")))
     lines = sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "p")).collect())
     by = defaultdict(list)
     for w, _, v in got:

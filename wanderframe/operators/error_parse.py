@@ -47,6 +47,8 @@ EDIT, FORM, MARK = 1 << 12, 1 << 6, 1
 FAR = 1 << 30
 #: Costs (patterns x characters x states) that one pass holds.
 CELLS = 1 << 22
+#: Patterns of more characters are followed back block by block, so that their costs take no memory by their length.
+LONG_PATTERN = 1 << 13
 #: Patterns that a worker remembers for a layout before it starts afresh.
 MOST_PATTERNS = 100_000
 #: Plain text of more characters than this in one piece is no number, whatever it holds.
@@ -234,6 +236,36 @@ def with_inserts(best: np.ndarray, g: Grammar) -> np.ndarray:
         best = more
 
 
+class Steps:
+    """Costs before and behind inserts at each character of one long pattern: those at every BLOCK-th are kept, the others come again."""
+
+    BLOCK = 1 << 10
+
+    def __init__(self, g: Grammar, pattern: bytes) -> None:
+        self.g, self.pattern, self.marks, self.held = g, pattern, [], {}
+        best = np.full((1, len(g.named)), FAR, np.int64)
+        best[:, 0] = 0
+        for j in range(len(pattern) + 1):
+            if j % self.BLOCK == 0:
+                self.marks.append(best)
+            full = with_inserts(best, g)
+            if j < len(pattern):
+                best = relaxed(full, g.arrays[pattern[j]])
+        self.last = full[0]
+
+    def __getitem__(self, j: int) -> tuple[list[int], list[int]]:
+        if j not in self.held:
+            block = j // self.BLOCK
+            best = self.marks[block]
+            self.held = {}
+            for k in range(block * self.BLOCK, min((block + 1) * self.BLOCK, len(self.pattern) + 1)):
+                full = with_inserts(best, self.g)
+                self.held[k] = best[0].tolist(), full[0].tolist()
+                if k < len(self.pattern):
+                    best = relaxed(full, self.g.arrays[self.pattern[k]])
+        return self.held[j]
+
+
 class Parser:
     """Parses the patterns of one layout and remembers them."""
 
@@ -268,6 +300,11 @@ class Parser:
         """Adds patterns that are not known yet.  They advance together, in order of length, so those still on their way are the last."""
         g = self.grammar
         order = sorted(patterns, key=len)
+        while order and len(order[-1]) > LONG_PATTERN:
+            p = order.pop()
+            steps = Steps(g, p)
+            self.known[p] = len(self.parses)
+            self.parses.append(self.followed(p, steps, int((steps.last + g.ending).argmin())))
         k = 0
         while k < len(order):
             stop = k + 1
@@ -296,7 +333,7 @@ class Parser:
                     rows = np.flatnonzero(live == c)
                     best[rows] = relaxed(full[ended + rows], g.arrays[c])
 
-    def followed(self, pattern: bytes, costs: list[tuple[list[int], list[int]]], state: int) -> Parse:
+    def followed(self, pattern: bytes, costs: list[tuple[list[int], list[int]]] | Steps, state: int) -> Parse:
         """Back from the end of the cheapest parse."""
         g = self.grammar
         edits, path = [], []

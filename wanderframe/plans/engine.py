@@ -76,7 +76,7 @@ class Prepared:
 
     def __init__(self, graph: Graph, static: str | None, dynamic: bool) -> None:
         self.graph = graph
-        self.queries: dict[int, DataFrame] = {}
+        self.queries: dict[int, tuple[Query, DataFrame]] = {}  # holds the query, so that its id stays its own
         self.placed: dict[str, DataFrame] = {}
         self.cdf = kept(st.intervals(graph, static, uniform_if_zero=not dynamic))
         self.attributes = [c for c in graph.attributes.columns if c != "v"] if graph.attributes is not None else []
@@ -130,8 +130,8 @@ class Prepared:
             else:
                 names = ["v", *["key"] * (query.key is not None)]
                 own = query.table.select(*names, *[F.col(c).alias(f"re_{c}") for c in query.table.columns if c not in names])
-            self.queries[id(query)] = kept(own)
-        return self.queries[id(query)]
+            self.queries[id(query)] = query, kept(own)
+        return self.queries[id(query)][1]
 
     def sent_bytes(self, spec: Transition) -> int:
         """About what the arrays of `send` take, from the numbers of rows."""
@@ -608,14 +608,14 @@ def without_tables(spec: Transition) -> Transition:
     return out
 
 
-def recursive(spark: SparkSession, graph: Graph, ready: Prepared, walkers: WalkerConfig, spec: Transition, levels: int) -> DataFrame:
+def recursive(spark: SparkSession, graph: Graph, ready: Prepared, walkers: WalkerConfig, spec: Transition, levels: int, epoch: Epoch = None) -> DataFrame:
     """One WITH RECURSIVE query over the cell table; static components only."""
     if spec.dynamic is not None or walkers.init:
         raise ValueError("the recursive strategy takes stateless walks without a dynamic component")
     if levels > MOST_LEVELS:
         raise ValueError(f"the recursive strategy takes at most {MOST_LEVELS} steps")
     begin = f"seeds_{uuid.uuid4().hex[:12]}"
-    seeds(spark, graph, walkers).select("wid", "h", "step", "v").join(ready.vertices.select("v", "tot", "deg"), "v", "left").createOrReplaceTempView(begin)
+    seeds(spark, graph, walkers, epoch).select("wid", "h", "step", "v").join(ready.vertices.select("v", "tot", "deg"), "v", "left").createOrReplaceTempView(begin)
     text = rng.sql_draws("SELECT * FROM walk WHERE tot > 0", {"x": str(rng.EXTEND)} | edge_salts("0"), drop="EXCEPT")
     text = with_cell(text, "true")
     out = spark.sql(f"""
@@ -675,17 +675,17 @@ def random_walk(graph: Graph, walkers: WalkerConfig, spec: Transition, config: W
     parts = []
     for k, epoch in enumerate(epochs(walkers, config.rate)):
         folder = None
-        if how == "recursive":
-            part = recursive(spark, graph, ready, walkers, spec, levels)
-            part = kept(part)
+        if how == "supersteps":
+            run = Supersteps(spark, graph, ready, walkers, spec, config)
+            part, folder = run.run(epoch), run.root
+        elif how == "tasks":
+            part = Tasks(spark, graph, ready, walkers, spec, config).run(epoch)
         else:
-            run = (Tasks if how == "tasks" else Supersteps)(spark, graph, ready, walkers, spec, config)
-            part = run.run(epoch)
-            folder = getattr(run, "root", None)
-            if how == "tasks" and (taken or config.rate < 1):
-                folder = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
-                part.write.parquet(folder)  # walked once, whoever reads it
-                part = spark.read.schema(part.schema).parquet(folder)
+            part = recursive(spark, graph, ready, walkers, spec, levels, epoch)
+        if how == "recursive" or how == "tasks" and (taken or config.rate < 1):
+            folder = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+            part.write.parquet(folder)  # walked once, whoever reads it
+            part = spark.read.schema(part.schema).parquet(folder)
         if config.output:
             paths.write_paths(part, f"{config.output}/epoch={k}", config.with_head)
         if config.consumer:
