@@ -88,6 +88,22 @@ def test_pieces_of_long_words(enc, library, monkeypatch):
     assert ours(enc, texts) == want
 
 
+@pytest.mark.parametrize("unit", ["x", "=", "abc", " ", "ha", "etaoinshrdlu"])
+def test_words_in_parts(enc, library, unit, monkeypatch):
+    """A word without barriers is contracted part by part, whatever the parts."""
+    text = unit * (3001 // len(unit)) + "".join(random.Random(3).choices(unit, k=1500))
+    want = library.encode(text, add_special_tokens=False).ids
+    for part in (100, 333, 1 << 11):
+        monkeypatch.setattr(bpe, "PART", part)
+        assert ours(bpe.Encoder(enc.path), [text])[0] == want
+
+
+def test_a_million_times_one_letter(enc, library):
+    """Such a word takes the memory of its parts."""
+    texts = ["x" * 1_000_001, "=" * 400_000, "ab" * 300_000]
+    assert ours(enc, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_every_vocabulary_entry_contracts_to_itself(enc):
     import json
 

@@ -15,7 +15,11 @@ of a contraction, final or not, is a vocabulary entry that stands in the text
 at its place, so a boundary that no entry found in the word spans is never
 crossed.  Long words are cut at these boundaries, which an Aho-Corasick
 automaton over the vocabulary finds in one pass, and the pieces are contracted
-and remembered like words of their own.
+and remembered like words of their own.  A piece may still be long, as a line of
+one letter is; it is contracted part by part.  Tokens are the contraction of
+what they spell if and only if each two neighbours are that of theirs, so a part
+is cut behind one of its tokens, and the cut stands if the token and the first
+one of the rest, contracted together, come out unchanged.
 
 Results by case: a null or empty text gives an empty list; a white-space text
 is encoded like any other; a text of any length is encoded whole; strings that
@@ -29,6 +33,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +47,10 @@ CHUNK_BYTES = 4 << 20
 #: Distinct words a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 #: Token-position rows given to one recursive query.
-QUERY_ROWS = 400_000
+QUERY_ROWS = 300_000
 
+#: Bytes of a word that one query contracts; longer ones are contracted in parts that are then proved to fit together.
+PART = 1 << 16
 #: Words above this many bytes are cut where no vocabulary entry can reach across.
 LONG = 256
 
@@ -158,6 +165,9 @@ class Encoder:
         )
         as_bytes = {ord(c): chr(b) for c, b in letters.items()}
         self.entries = [(x + y).translate(as_bytes) for x, y in pairs]
+        #: Bytes that each id stands for.
+        self.lengths = np.ones(1 + max(vocab.values()), np.int64)
+        self.lengths[[vocab[x + y] for x, y in pairs]] = list(map(len, self.entries))
         # a chunk fits in memory by its size; without a folder for spills nothing is written beside the worker
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": self.memory, "temp_directory": ""})
         self.db.register("arrow_merges", table)
@@ -178,9 +188,11 @@ class Encoder:
     def barriers(self, word: bytes) -> np.ndarray:
         """Places inside the word that no vocabulary entry in it spans."""
         open_at = np.zeros(len(word) + 1, np.int64)
-        found = np.array([(last - n + 2, last + 1) for last, n in self.automaton.iter(word.decode("latin-1"))], np.int64).reshape(-1, 2)
-        np.add.at(open_at, found[:, 0], 1)
-        np.add.at(open_at, found[:, 1], -1)
+        matches = self.automaton.iter(word.decode("latin-1"))
+        while some := list(islice(matches, 100_000)):  # a long word has many times as many
+            last, n = np.array(some, np.int64).T
+            np.add.at(open_at, last - n + 2, 1)
+            np.add.at(open_at, last + 1, -1)
         return np.flatnonzero(np.cumsum(open_at)[1 : len(word)] == 0) + 1
 
     def forget(self) -> None:
@@ -192,6 +204,41 @@ class Encoder:
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each word has."""
+        long = [k for k, w in enumerate(words) if len(w) > PART]
+        if not long:
+            return self.contract_whole(words)
+        parts, at = [], 0
+        for k in [*long, len(words)]:
+            if k > at:
+                parts.append(self.contract_whole(words[at:k]))
+            if k < len(words):
+                ids = self.contract_in_parts(words[k])
+                parts.append((ids, np.array([len(ids)])))
+            at = k + 1
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def contract_in_parts(self, word: bytes) -> np.ndarray:
+        out: list[np.ndarray] = []
+        at, part = 0, PART
+        ids, _ = self.contract_whole([word[:part]])
+        while at + part < len(word):
+            size = self.lengths[ids]
+            ends = np.cumsum(size)
+            # behind one of its last tokens, but not at the end, which the cut has made
+            for k in range(int(np.searchsorted(ends, part * 3 // 4)), len(ids) // 2, -1):
+                cut = at + int(ends[k])
+                rest, _ = self.contract_whole([word[cut : cut + part]])
+                both = word[cut - int(size[k]) : cut + int(self.lengths[rest[0]])]
+                if self.contract_whole([both])[0].tolist() == [ids[k], rest[0]]:
+                    out.append(ids[: k + 1])
+                    at, ids = cut, rest
+                    break
+            else:  # no cut of the last tokens stands: take more of the word at once
+                part *= 2
+                ids, _ = self.contract_whole([word[at : at + part]])
+        return np.concatenate([*out, ids])
+
+    def contract_whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(sizes)
