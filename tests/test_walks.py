@@ -340,6 +340,13 @@ def test_vertices_without_attributes(spark, named):
     assert not {v for _, step, v in a if step} & {5, 7}
 
 
+@pytest.mark.parametrize("name", ["key", "TOT", "to_x", "_t", "a"])
+def test_columns_with_names_of_the_walk_are_refused(spark, name):
+    edges = spark.createDataFrame([(0, 1, 2)], f"src long, dst long, `{name}` int")
+    with pytest.raises(ValueError, match="names that a walk needs"):
+        engine.random_walk(Graph(edges, 2), WalkerConfig(1), apps.deepwalk(1))
+
+
 def test_null_and_repeated_walkers(spark):
     table = spark.createDataFrame([(1, 0, 2), (2, None, 2), (None, 1, 2), (3, 77, 2)], "wid long, start long, len int")
     got = rows_of(engine.random_walk(ring(spark), WalkerConfig(table=table), apps.deepwalk("len")))

@@ -50,6 +50,8 @@ PATIENCE = 64
 #: The recursive strategy stays below Spark's own limit on recursion depth.
 MOST_LEVELS = 90
 INNER = ("wid", "h", "step", "v", "tot", "deg", "a")
+#: Names that columns of edges can't have in a walk, besides those with _, to_, at_ or re_ in front.
+RESERVED = {*INNER, "w", "lo", "hi", "cell", "key", "linked"}
 
 
 class BoundError(ValueError):
@@ -78,9 +80,11 @@ class Prepared:
         self.graph = graph
         self.queries: dict[int, tuple[Query, DataFrame]] = {}  # holds the query, so that its id stays its own
         self.placed: dict[str, DataFrame] = {}
-        self.cdf = kept(st.intervals(graph, static, uniform_if_zero=not dynamic))
         self.attributes = [c for c in graph.attributes.columns if c != "v"] if graph.attributes is not None else []
         self.payload = [c for c in graph.edges.columns if c not in ("src", "dst")]
+        if clash := [c for c in self.payload if c.lower() in RESERVED or c.lower().startswith(("_", "to_", "at_", "re_"))]:
+            raise ValueError(f"columns of edges with names that a walk needs: {clash}")
+        self.cdf = kept(st.intervals(graph, static, uniform_if_zero=not dynamic))
         self.n_edges = self.cdf.count()
         self.sent: dict = {}
         self.views: dict[str, str] = {}
